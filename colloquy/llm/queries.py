@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, warc
+import public_tokenizers
+
+from colloquy.llm import bpe, chat, pii, quality, warc
 from colloquy.llm.common import read_table
 
 
@@ -28,7 +30,30 @@ def op10_chat_trees(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op10_chat_trees)}
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, judged by the fixed rules and by rules learned from the labels."""
+    docs = read_table(spark, folder, "documents")
+    judged = quality.judge_documents(docs, quality.fit_rules(docs, read_table(spark, folder, "labels")))
+    return judged.select("doc_id", *[f"_counts.{c}" for c in quality.COUNTS[:5]], "base_failed", "kept")
+
+
+def op5_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit_field(docs)).drop("text")
+    of_kind = lambda kind: F.size(F.filter("pii_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of_kind, pii.KINDS), F.sha2(pii.span_text("base_spans"), 256).alias("base_sha256"), pii.span_text("pii_spans").alias("spans"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, encoded and decoded."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded").drop("text")
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op4_quality_rules, op5_pii_spans, op7_bpe_round_trip, op10_chat_trees)}
 
 ORACLE = {
     "op1_warc_revisits": r"""
