@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from colloquy.llm import bpe, chat, pii, quality, warc
+from colloquy.llm import bpe, chat, pii, quality, simhash, vectors, warc
 from colloquy.llm.common import read_table
 
 
@@ -30,6 +30,17 @@ def op10_chat_trees(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_embedding_pca(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings, linked within labels at a cosine of 0.98."""
+    return vectors.near_duplicates(read_table(spark, folder, "embeddings"), threshold=0.98)
+
+
+def op3_simhash_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, grouped at two or fewer differing bits."""
+    found = simhash.near_duplicates(read_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, judged by the fixed rules and by rules learned from the labels."""
     docs = read_table(spark, folder, "documents")
@@ -53,7 +64,7 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op4_quality_rules, op5_pii_spans, op7_bpe_round_trip, op10_chat_trees)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_embedding_pca, op3_simhash_multi_index, op4_quality_rules, op5_pii_spans, op7_bpe_round_trip, op10_chat_trees)}
 
 ORACLE = {
     "op1_warc_revisits": r"""
