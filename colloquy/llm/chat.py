@@ -48,25 +48,22 @@ def branch_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
         .select("tree_id", "node_id", F.when(F.col("known") == 1, F.col("parent_id")).alias("jump"), "score", F.lit(0).cast("long").alias("depth")),
         "chat-jumps",
     )
-    jumps, left = [], None
-    while True:
-        open_now = step.where("jump is not null").count()
-        if open_now == left or not open_now:
-            break
+    # only nodes whose root is not found yet are joined again, with all nodes
+    found, open_nodes, jumps, left = step.where("jump is null"), step.where("jump is not null"), [], None
+    while (open_now := open_nodes.count()) and open_now != left:
         left = open_now
-        jumps.append(step.where("jump is not null").select("tree_id", "node_id", "jump"))
-        far = step.select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("far"), F.col("score").alias("more"), F.col("depth").alias("down"))
+        jumps.append(open_nodes.select("tree_id", "node_id", "jump"))
+        far = found.union(open_nodes).select("tree_id", F.col("node_id").alias("jump"), F.col("jump").alias("far"), F.col("score").alias("more"), F.col("depth").alias("down"))
         hop = F.lit(1 << (len(jumps) - 1)).cast("long")
         step = write_table(
-            step.join(far, ["tree_id", "jump"], "left").select(
-                "tree_id", "node_id", F.col("far").alias("jump"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                F.when(F.col("jump").isNull(), F.col("depth")).otherwise(F.when(F.col("far").isNull(), F.col("down") + hop).otherwise(F.lit(0))).cast("long").alias("depth"),
+            open_nodes.join(far, ["tree_id", "jump"]).select(
+                "tree_id", "node_id", F.col("far").alias("jump"), (F.col("score") + F.col("more")).alias("score"), F.when(F.col("far").isNull(), F.col("down") + hop).otherwise(F.lit(0)).cast("long").alias("depth")
             ),
             "chat-jumps",
         )
+        found, open_nodes = found.union(step.where("jump is null")), step.where("jump is not null")
     inner = spine.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    leaves = step.where("jump is null").join(inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "score", "depth")
+    leaves = found.join(inner, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "score", "depth")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")))
     paths = (ranked if top is None else ranked.where(F.col("rank") <= top)).select("tree_id", "leaf_id", "rank", "depth", F.col("leaf_id").alias("node_id"))
     for k in reversed(range(len(jumps))):
