@@ -26,12 +26,7 @@ def plain_words(text: str | None) -> list[str]:
 
 def ascii_lower(text: str) -> str:
     """Lower-cases A-Z only."""
-    if text.isascii():
-        return text.lower()
-    return text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+    return text.encode("utf-8").lower().decode("utf-8")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,6 +51,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table that ``write_table`` made and nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def pieces(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cuts Arrow batches into runs of rows whose texts hold about ``most_chars`` characters, so batch memory stays bounded."""
     for frame in frames:

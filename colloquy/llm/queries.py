@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from colloquy.llm import bpe, chat, pii, quality, simhash, vectors, warc
+from colloquy.llm import bpe, chat, contextmix, mixing, pii, quality, simhash, suffixes, vectors, warc
 from colloquy.llm.common import read_table
 
 
@@ -56,6 +56,16 @@ def op5_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *map(of_kind, pii.KINDS), F.sha2(pii.span_text("base_spans"), 256).alias("base_sha256"), pii.span_text("pii_spans").alias("spans"))
 
 
+#: Target shares of the sources by volume of text; any other source falls in the rest.
+SOURCE_WEIGHTS = {"src0": 0.24} | {f"src{i}": 0.04 for i in range(1, 20)}
+
+
+def op6_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents placed in the mix: slots, and each block's window."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, SOURCE_WEIGHTS).drop("text")
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, encoded and decoded."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
@@ -64,7 +74,19 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_embedding_pca, op3_simhash_multi_index, op4_quality_rules, op5_pii_spans, op7_bpe_round_trip, op10_chat_trees)}
+def op8_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored by the model that six sevenths of them train."""
+    return contextmix.score_documents(read_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op9_bucket_pointer(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the bytes of strings of 400 that start elsewhere too."""
+    cut = suffixes.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_embedding_pca, op3_simhash_multi_index, op4_quality_rules, op5_pii_spans, op6_pfair_mix, op7_bpe_round_trip, op8_context_mixing, op9_bucket_pointer, op10_chat_trees)}
 
 ORACLE = {
     "op1_warc_revisits": r"""

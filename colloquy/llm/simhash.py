@@ -86,3 +86,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
     names = write_table(member.select("fp", "component").join(named, "component").select("fp", "component_id"), "simhash-names")
     return marked.join(names, "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The row with the smallest key of each group (nulls last; of repeated rows, one), all columns as they are."""
+    rows = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    named = rows.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_row").alias("row")).alias("_name"), F.col(text).alias("_text"))
+    found = near_duplicates(named, "_text", "_name")
+    kept = write_table(found.where("_name = component_id").select(F.col("_name.row").alias("_row")), "simhash-kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
