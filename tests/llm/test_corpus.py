@@ -1,0 +1,303 @@
+import hashlib
+import math
+import random
+import re
+from base64 import b32encode
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from conftest import SF, rows, same
+from pyspark.sql import functions as F
+
+from colloquy.llm import bpe, chat, common, contextmix, mixing, pii, quality, queries, simhash, suffixes, vectors, warc
+
+DOCS = "doc_id long, text string, source string, n_chars long, component_id string, _row int"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+ODD = [None, "", " \t\n", "a", "aaaa" * 300, "Ünï 🌀 çode", "x\x00y", "é́ Σς İ", "word " * 3000]
+
+
+def odd_documents(spark, more=()):
+    """Null, empty, long and repeated rows, null keys, and columns whose names clash with the operators' own."""
+    texts = [*ODD, *ODD[:3], *more]
+    return spark.createDataFrame([(i if i != 4 else None, t, f"s{i % 2}" if i else None, 1, "c", 0) for i, t in enumerate(texts)], DOCS)
+
+
+def smallest_reachable(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_same_as_sql(spark, duck, name):
+    same(queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE[name]))
+
+
+def test_empty_tables(spark):
+    docs = odd_documents(spark).limit(0)
+    assert suffixes.remove_repeats(docs).count() == 0
+    assert simhash.near_duplicates(docs).count() == 0 and simhash.one_of_each(docs).count() == 0
+    assert mixing.mix(docs, {"s0": 1.0}).count() == 0
+    assert contextmix.score_documents(docs).count() == 0
+    assert bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert pii.find_spans(docs, pii.fit_field(docs)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.judge_documents(docs, quality.fit_rules(docs, labels)).count() == 0
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_archives(spark):
+    pages = [(1, "http://a", "<p>"), (2, None, "<p>"), (3, "http://b c", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\n\r\nx\n"), (None, "u", "z"), (7, "u", "<p>"), (7, "u", "<p>"), (8, "u", "é" * 70_000)]
+    got = warc.archive_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    best = {}
+    for page, _, html in pages:
+        best[html or ""] = max(best.get(html or "", -1), page or -1)
+    want = []
+    for page, _, html in pages:
+        raw, first = (html or "").encode(), best[html or ""]
+        revisit = first >= 0 and page != first
+        want.append((page, len(raw), b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_vectors_are_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(12, 16))
+    data = [(i, (base[i % 12] + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.6])).tolist(), int(i % 3)) for i in range(180)]
+    data += [(200, data[5][1], 2), (201, data[5][1], 2), (202, None, 1), (203, [0.0] * 16, 1), (204, [float("nan")] * 16, 1), (205, data[5][1], None), (206, [1.0, None] * 8, 0), (207, [1.0], 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, 0.98, chunk=16).collect()}
+    sound = [(i, np.array(v), c) for i, v, c in data if v and None not in v and np.isfinite(v).all() and np.linalg.norm(v) > 0 and c is not None]
+    links = [(i, j) for a, (i, x, c) in enumerate(sound) for j, y, d in sound[:a] if c == d and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98]
+    n, root = Counter(k for pair in links for k in pair), smallest_reachable(210, links)
+    assert got == {i: (n[i], root[i], i == root[i]) for i, _, _ in data} and len(links) > 50
+
+
+def fingerprint(text):
+    found = [w.encode() for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    grams = [b" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))] if found else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_simhash_is_brute_force(spark):
+    rng = random.Random(2)
+    base = [" ".join(rng.choice(["Alpha", "beta", "gamma", "delta", "ж"]) + str(rng.randrange(40)) for _ in range(150)) for _ in range(8)]
+    near = [" ".join(w if rng.random() > 0.004 else "zz" for w in rng.choice(base).split()) for _ in range(60)]
+    docs = odd_documents(spark, near + base).where("doc_id is not null")
+    data = sorted((r.doc_id, fingerprint(r.text)) for r in docs.collect())
+    links = [(i, j) for k, (i, a) in enumerate(data) for j, b in data[:k] if (a ^ b).bit_count() <= 2]
+    root = smallest_reachable(1 + data[-1][0], links)
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs.drop("component_id")).collect()}
+    assert got == {i: (f, root[i]) for i, f in data} and any((dict(data)[i] ^ dict(data)[j]).bit_count() for i, j in links)
+    assert simhash.one_of_each(docs).count() == len({root[i] for i, _ in data})
+
+
+def counts(text):
+    found = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    where = defaultdict(list)
+    for i in range(len(found) - 7):
+        where[tuple(found[i : i + 8])].append(i)
+    twice = {j for at in where.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    return len(found), sum(map(len, found)), symbols, len(lines) - len(set(lines)), len(twice)
+
+
+def test_quality_counts_are_brute_force(spark):
+    rng = random.Random(4)
+    more = [" ".join(rng.choice("a b c #d e|f".split()) for _ in range(rng.randrange(200))).replace(" c", "\n", 3) for _ in range(40)] + ["x y\nx y\n\n# #\n# #\r\n# #"]
+    docs = odd_documents(spark, more)
+    got = quality.judge_documents(docs, []).collect()
+    for r in got:
+        want = counts(r.text)
+        symbols_only_elsewhere = want[2] if want[0] else 0
+        assert tuple(r._counts[c] for c in quality.COUNTS[:5]) == (want[0], want[1], symbols_only_elsewhere, want[3], want[4])
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and r.kept == (not r.base_failed)
+
+
+def test_rules_find_bad_rows_unseen(spark):
+    docs, labels = common.read_table(spark, "/root/testdata/sf0.01", "documents"), common.read_table(spark, "/root/testdata/sf0.01", "labels").where("quality is not null")
+    rules = quality.fit_rules(docs, labels.where("crc32(string(doc_id)) % 2 = 0"))
+    judged = quality.judge_documents(docs, rules).select("doc_id", "kept").join(labels.where("crc32(string(doc_id)) % 2 = 1"), "doc_id").collect()
+    bad, good = [r.kept for r in judged if r.quality == 0], [r.kept for r in judged if r.quality == 1]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.3 * len(bad)
+
+
+def base(text):
+    found = []
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 * (int(c) > 4)) for i, c in enumerate(reversed(d))) % 10 == 0
+    tests = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(d := re.sub("[ -]", "", s)) <= 19 and luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= sum(c.isdigit() for c in s) <= 15),
+    }
+    for kind, (pattern, good) in tests.items():
+        found += [(kind, *m.span()) for m in re.finditer(pattern, text or "") if good(m.group())]
+    return found
+
+
+def test_base_spans_are_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["a.b+c@d-e.fr", "@@x.y", "a@b", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-99-88", "+12", "+4420794609581234", " ", "é", "0" * 30, "x@y.z@q.r", "-", "."]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    for t in [*texts, *ODD]:
+        assert sorted(pii.base_spans(t)) == sorted(base(t)), t
+    docs = odd_documents(spark, texts[:50])
+    field = pii.fit_field(docs)
+    for r in pii.find_spans(docs, field).collect():
+        everything, fixed = [tuple(s) for s in r.pii_spans], [tuple(s) for s in r.base_spans]
+        assert sorted(fixed) == sorted(base(r.text)) and set(fixed) <= set(everything)
+    assert pii.redacted("mail a@b.cd now", [("email", 5, 11)]) == "mail <EMAIL> now"
+
+
+def test_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, rng = Tokenizer.from_file(path), random.Random(8)
+    lib.no_truncation()
+    lib.no_padding()
+    more = ["".join(rng.choice("aAbé'1 ,ß中 \x1c\x85<|endoftext|>Σ́") for _ in range(60)) for _ in range(200)] + ["it's I'LL we'd", "<|endoftext|>x<|startoftext|>"]
+    for r in bpe.encode_texts(odd_documents(spark, more), path, decoded="decoded").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.decoded == lib.decode(ids, skip_special_tokens=False)
+
+
+def repeats(texts, length):
+    raw, n = [(t or "").encode() for t in texts], Counter()
+    for x in raw:
+        n.update(x[i : i + length] for i in range(len(x) - length + 1))
+    out = []
+    for x in raw:
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if n[x[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append((len(x), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(c for c, g in zip(x, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize(("length", "gram"), [(40, 20), (400, 200)])
+def test_repeats_are_brute_force(spark, length, gram):
+    rng = random.Random(length)
+    some = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    stock, texts = [some(rng.randint(length, 5 * length)) for _ in range(6)], ["ab" * length, some(length - 1), *ODD[:8]]
+    for _ in range(80):
+        t = rng.choice(stock)
+        a = rng.randrange(len(t))
+        texts.append(rng.choice([t, t[:a] + "#" + t[a + 1 :], some(9) + t[a : a + rng.randint(length - 2, 2 * length)] + some(30), some(rng.randint(0, 3 * length))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    cut = suffixes.remove_repeats(df, length=length, gram=gram).orderBy("doc_id").collect()
+    assert [(r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in cut] == repeats(texts, length)
+
+
+def earliest_deadlines(shares, blocks):
+    """Slot by slot, without periods."""
+    left, used, order, slot0 = dict(blocks), defaultdict(int), [], 0
+    while any(left.values()):
+        live = sorted(s for s in left if left[s])
+        total, done, t = sum(shares[s] for s in live), defaultdict(int), 0
+        while all(left[s] for s in live):
+            ready = [(-(-(done[s] + 1) * total // shares[s]), s) for s in live if done[s] * total // shares[s] <= t]
+            s = min(ready)[1]
+            order.append((s, used[s]))
+            done[s], used[s], left[s], t = done[s] + 1, used[s] + 1, left[s] - 1, t + 1
+            assert all(abs(t * shares[x] / total - done[x]) < 1 for x in live)
+        slot0 += t
+    return order
+
+
+def test_mix_is_earliest_deadline_first(spark):
+    rng = random.Random(9)
+    data = [(i, "x" * rng.randrange(60), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(600)] + [(7, "y" * 900, "b")] * 2
+    weights = {"a": 0.2, "b": 0.5, "e": 0.1}
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights, rest=0.2, block=100).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, _ in data)
+    names = ["a", "b", "e", "rest"]
+    key = lambda r: names.index(r.source) if r.source in weights else 3
+    size = Counter()
+    for r in got:
+        size[key(r)] += len(r.text)
+    shares = dict(enumerate(mixing.whole_shares(weights, 0.2)))
+    blocks = {s: max(1, -(-n // 100)) for s, n in size.items()}
+    slots = {b: i for i, b in enumerate(earliest_deadlines(shares, blocks))}
+    for r in got:
+        assert slots[key(r), r.mix_block] == r.mix_slot and r.mix_release <= r.mix_slot < r.mix_deadline
+    for s in size:
+        at = sorted((r.mix_start, len(r.text)) for r in got if key(r) == s)
+        assert [a for a, _ in sorted(at)] == [0, *np.cumsum([n for _, n in at])[:-1].tolist()]
+
+
+def test_scores_are_probabilities(spark):
+    docs = odd_documents(spark).unionByName(common.read_table(spark, SF, "documents").select("doc_id", "text", "source", "n_chars", F.lit("c").alias("component_id"), F.lit(0).alias("_row")))
+    got = contextmix.score_documents(docs).collect()
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    data = [(r.doc_id, [*WORD.findall(lower(r.text)), ""]) for r in docs.collect()]
+    held = lambda i: i is not None and crc32(str(i).encode()) % 7 == 2
+    c = Counter(t for i, ts in data if not held(i) for t in ts)
+    n, v = sum(c.values()), len(c)
+    want = [(i, held(i), len(ts), sum(t in c for t in ts), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts)) for i, ts in data]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    assert rows(names, [tuple(r[x] for x in names) for r in got]) == rows(names, want)
+    assert all(r.score < 0 for r in got)
+    assert len({r.score for r in got if r.n_tokens == 1}) == 1  # equal texts score alike
+
+
+def test_codes_are_complete():
+    tree = contextmix.Tree.build([5, 1, 1, 3, 9])
+    lengths = np.diff(tree.offset)
+    assert sum(2.0**-n for n in lengths.tolist()) == 1
+    z = np.random.default_rng(0).normal(size=50)
+    both = [2.0 ** -contextmix._costs(z, np.full(50, b)) for b in (0, 1)]
+    assert np.allclose(sum(both), 1)
+
+
+def test_chat_round_trip(spark):
+    said = ["<|im_end|>\n<|im_start|>assistant\nx", "<\\|im_end|>", "<\\\\|", "", None, "\n", "<|<|im_end|>|>", "\\", "ok"]
+    data = [(c, t, role, text) for c, (t, role) in enumerate(zip(range(9), ["user", "assistant", "a\nb", "<|im_start|>", "\\n", "assistant", "", None, "assistant"])) for t, text in enumerate(said)]
+    nodes = chat.conversation_nodes(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    for r in chat.read_branches(chat.format_branches(nodes)).collect():
+        role = [x for x in data if x[0] == int(r.tree_id)][0][2] or ""
+        assert [(t.role, t.text) for t in r.turns] == [(role, x or "") for x in said]
+        assert r.loss_text == ("".join(x or "" for x in said) if role == "assistant" else "")
+
+
+def test_branches_by_score(spark):
+    tree = [("t", 1, None, 1.0), ("t", 2, 1, 5.0), ("t", 3, 1, 2.0), ("t", 4, 3, 9.0), ("t", 5, 4, 0.5), ("t", 6, 99, 1.0), ("t", 7, 8, 1.0), ("t", 8, 7, 1.0), ("u", 1, None, None)]
+    got = chat.branch_paths(spark.createDataFrame(tree, "tree_id string, node_id long, parent_id long, score double"), None).orderBy("tree_id", "rank", "depth").collect()
+    paths = defaultdict(list)
+    for r in got:
+        paths[r.tree_id, r["rank"]].append(r.node_id)
+    assert dict(paths) == {("t", 1): [1, 3, 4, 5], ("t", 2): [1, 2], ("t", 3): [6], ("u", 1): [1]}
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = common.read_table(spark, SF, "documents")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, kept = kept, common.write_table(stage(spark, kept, SF), "test")
+        if name != "tokens":
+            assert kept.columns == docs.columns
+        if name in ("personal data", "source mix", "tokens"):
+            assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in before.select("doc_id").collect())
+        if name == "personal data":
+            assert not any(base(r.text) for r in kept.select("text").collect())
+    good = {r.doc_id for r in common.read_table(spark, SF, "labels").where("quality = 1").collect()}
+    assert corpus_pipeline.run(spark, SF).count() == kept.count() and len(good) > 0
