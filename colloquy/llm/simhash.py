@@ -22,20 +22,26 @@ BITS, HALF = 64, 32
 SEED = 42
 
 
-def text_fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of one whole text as a signed 64-bit number: a bit is set if it is in over half the shingle hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash of each run of ``shingle`` words, A-Z lower-cased; of all words if there are fewer; none of no words."""
     words = plain_words(ascii_lower(text)) if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     coded = [w.encode("utf-8") for w in words]
     joined = b" ".join(coded)
     starts = np.cumsum([0, *(len(w) + 1 for w in coded[:-1])])
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.r_[starts[shingle:] - 1, len(joined)]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(ends)].tolist(), ends.tolist())], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.r_[starts[shingle:] - 1, len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(ends)].tolist(), ends.tolist())], np.uint64)
+
+
+def text_fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of one whole text as a signed 64-bit number: a bit is set if it is in over half the shingle hashes."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

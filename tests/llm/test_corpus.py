@@ -13,7 +13,7 @@ import xxhash
 from conftest import SF, rows, same
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, common, contextmix, mixing, pii, quality, queries, simhash, suffixes, vectors, warc
+from colloquy.llm import bpe, chat, common, contextmix, mixing, pii, quality, queries, similar, simhash, suffixes, vectors, warc
 
 DOCS = "doc_id long, text string, source string, n_chars long, component_id string, _row int"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -106,6 +106,38 @@ def test_simhash_is_brute_force(spark):
     assert simhash.one_of_each(docs).count() == len({root[i] for i, _ in data})
 
 
+def test_near_copies_of_the_pipeline_are_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [[f"Word{rng.randrange(900)}" for _ in range(rng.choice([12, 60, 200]))] for _ in range(10)]
+    line = [f"licence{i}" for i in range(40)]
+    near = []
+    for _ in range(150):
+        words, changed = list(rng.choice(base)), rng.choice([0, 1, 1, 2, 3, 5, 9])
+        for _ in range(changed):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        near.append(" ".join(words + rng.choice([[], [], line])))
+    docs = odd_documents(spark, near)
+    data = docs.collect()
+
+    def grams(text):
+        found = [w.lower() for w in WORD.findall(text or "")]
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+    sets = [grams(r.text) for r in data]
+    alike = lambda a, b: not a | b or 5 * len(a & b) >= 4 * len(a | b)
+    links = [(i, j) for i in range(len(data)) for j in range(i) if alike(sets[i], sets[j])]
+    assert sum(sets[i] != sets[j] for i, j in links) > 50
+    least = {}
+    for r, root in zip(data, smallest_reachable(len(data), links)):
+        least[root] = min(least.get(root, math.inf), math.inf if r.doc_id is None else r.doc_id)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(math.inf if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert similar.one_of_each(docs.limit(0)).count() == 0
+
+
 def counts(text):
     found = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
