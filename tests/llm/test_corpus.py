@@ -210,6 +210,18 @@ def test_tokens_are_the_librarys(spark):
         assert list(r.ids) == ids and r.decoded == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_the_pipeline_decodes(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = odd_documents(spark).withColumn("lang", F.lit("en"))
+    got = corpus_pipeline.tokens(spark, docs, SF).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(list(r.ids), skip_special_tokens=False).encode()).hexdigest()
+
+
 def repeats(texts, length):
     raw, n = [(t or "").encode() for t in texts], Counter()
     for x in raw:
