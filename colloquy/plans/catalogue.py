@@ -482,7 +482,7 @@ def pca_2d(s, d):
 
 @query()
 def kmeans_sweep(s, d):
-    return vectors.kmeans_sweep(fx.vectors(s, d).select("vec_id", "vector"), "vector", "vec_id", [2, 5, 10])
+    return vectors.kmeans_sweep(fx.vectors(s, d).select("vec_id", "vector"), "vector", "vec_id", [2, 3, 5, 8, 10, 12, 15, 20, 30, 50])
 
 
 @query()

@@ -117,3 +117,16 @@ def test_scores_are_added_once(spark, tmp_path):
     for _ in range(2):
         runlogs.append_scores(record, str(tmp_path / "scores"))
     assert runlogs.read_scores(spark, str(tmp_path / "scores")).count() == 2
+
+
+def test_kmeans_sweep_is_the_references(spark, monkeypatch):
+    from colloquy.plans import catalogue
+
+    asked, made, kept = [], [], vectors.KMeans
+    monkeypatch.setattr(vectors, "kmeans_sweep", lambda rows, vector, key, ks: asked.extend(ks) or rows)
+    catalogue.QUERIES["kmeans_sweep"](spark, "/root/testdata/sf0.001")
+    assert asked == [2, 3, 5, 8, 10, 12, 15, 20, 30, 50]
+    monkeypatch.setattr(vectors, "KMeans", lambda **given: made.append(given) or kept(**given))
+    rows = spark.createDataFrame([(float(i % 7), float(i)) for i in range(30)], "x double, y double").select(F.array("x", "y").alias("v"))
+    vectors.kmeans_labels(rows, "v", 3)
+    assert len({g["seed"] for g in made}) == 10 and {g["maxIter"] for g in made} == {300}
