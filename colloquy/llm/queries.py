@@ -83,7 +83,7 @@ def op9_bucket_pointer(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the bytes of strings of 400 that start elsewhere too."""
     cut = suffixes.remove_repeats(read_table(spark, folder, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_embedding_pca, op3_simhash_multi_index, op4_quality_rules, op5_pii_spans, op6_pfair_mix, op7_bpe_round_trip, op8_context_mixing, op9_bucket_pointer, op10_chat_trees)}

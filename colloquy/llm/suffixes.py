@@ -1,14 +1,16 @@
-"""Removal of long repeats by bucket-pointer refinement.
-
-Every position gets an identifier for the q bytes that start there, doubled up from single bytes: the identifier of 2n
-bytes joins the identifier of n bytes with that of the n bytes at the later offset. Of each window of ``length`` bytes
-the smallest q-gram is its anchor, so equal windows have equal anchors at equal offsets, and the anchors' identifiers
-are the initial buckets. A bucket with one member holds no repeat and is left. In the others, pieces (runs of windows of
-one anchor) are refined: pieces with equal bytes form a class, classes of two or more are repeated as a whole, and what
-is left is cut into smaller pieces whose buckets are longer identifiers at later offsets, down to single windows.
-
-Identifiers are computed where the bytes lie, so that no bucket is fetched by pointer, and equality stands in for order:
-only the boundaries of buckets matter for repeats. Classes are told apart by 128-bit digests of their bytes.
+"""Removal of long repeats by bucket-pointer refinement over sampled suffixes.
+
+A text is a row of units: bytes, or words. Of each run of ``gram`` neighbouring suffixes the one with the smallest
+``gram``-unit string is its anchor, so equal windows have equal anchors at equal offsets, and only anchors are kept as
+suffixes. The strings at the anchors are the initial buckets, and each anchor has a pointer: its bucket's identifier.
+A bucket is refined by the pointer at a later offset, that of the next anchor, fetched by a join on its position; the
+new identifiers are written back and the next round reads them, so that after r rounds a pointer stands for r + 1
+anchors and all units between them. Buckets of one member hold no repeat and are left after every round.
+
+What is left is settled exactly. The windows of one anchor form a piece; pieces of a bucket with equal units (128-bit
+digests) form a class, classes of two or more are repeated as a whole, and what is left of a bucket is cut into blocks of
+windows and then single windows, each with a bucket of its own. Equality stands in for order: only the boundaries of
+buckets matter for repeats.
 """
 
 from __future__ import annotations
@@ -23,152 +25,235 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import drop_table, write_table
 
-LENGTH, GRAM = 400, 200
-#: Windows in a piece after each refinement; the first pieces have up to ``length - gram + 1``.
+#: Bytes of a string that must not start twice, and words of a passage that is reported when it does.
+LENGTH, PASSAGE = 400, 51
+#: Windows in a piece after each cut; the first pieces have as many as their anchor.
 CUTS = (16, 1)
-#: Bytes (and window starts of one text) that are worked on at once.
+#: Units of one text, and bytes of small texts together, that are worked on at once.
 SLICE = 1 << 20
-PIECE = "row long, start long, windows int, at int, needed boolean, bucket long, k1 long, k2 long"
-_NAMES = [x.split()[0] for x in PIECE.split(", ")]
-_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+PIECE = "row long, start long, windows int, at int, needed boolean, off long, size int, bucket long, k1 long, k2 long"
+ANCHOR = "row long, pos long, next long, start long, windows int, off long, size int, bucket long, k1 long, k2 long"
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 _BYTE_IDS = np.frombuffer(b"".join(blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), np.uint64)
 _LEFT, _RIGHT, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
+_INVERSE = np.uint64(pow(int(_LEFT), -1, 1 << 64))
 _AT = np.uint64((1 << 24) - 1)
 
 
-def gram_ids(data: np.ndarray, gram: int) -> np.ndarray:
-    """Identifiers of all ``gram``-byte strings, by joining identifiers at later offsets."""
+class Bytes:
+    """Units are bytes: identifiers, where each begins, and where it ends, in a text's bytes."""
+
+    @staticmethod
+    def read(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(len(data))
+        return _BYTE_IDS[data], at, at + 1
+
+
+class Words:
+    """Units are words, set apart by white space; an identifier is a sum over the word's bytes, by powers of their place."""
+
+    @staticmethod
+    def read(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[data], True]))
+        begin, end = edges[::2], edges[1::2]
+        powers = np.cumprod(np.full(len(data), _LEFT))
+        sums = np.r_[np.uint64(0), np.cumsum(_BYTE_IDS[data] * powers)]
+        back = np.cumprod(np.full(len(data) + 1, _INVERSE))[begin]
+        ids = (sums[end] - sums[begin]) * back
+        return ids ^ (ids >> _HIGH), begin, end
 
-    def join(ids: np.ndarray, offset: int) -> np.ndarray:
-        out = ids[:-offset] * _LEFT
-        out += ids[offset:] * _RIGHT
-        out ^= out >> _HIGH
-        return out
 
-    ids, have = _BYTE_IDS[data], 1
-    while have < gram and len(data) >= gram:
+def gram_ids(ids: np.ndarray, gram: int) -> np.ndarray:
+    """Identifiers of all strings of ``gram`` units, doubled up by joining identifiers at later offsets."""
+    have = 1
+    while have < gram and len(ids) > have:
         step = min(have, gram - have)
-        ids, have = join(ids, step), have + step
-    return ids if len(data) >= gram else ids[:0]
-
-
-def anchored_pieces(data: bytes, ends: list[int], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Pieces of joined texts (``ends``: where each ends): first window, number of windows, anchor, bucket."""
-    ids = gram_ids(np.frombuffer(data, np.uint8), gram)
-    spread = length - gram + 1
-    starts = [0, *ends[:-1]]
-    windows = [np.arange(a, b - length + 1) for a, b in zip(starts, ends) if b - a >= length]
-    if not windows:
-        return (np.empty(0, np.int64),) * 4
-    least = (ids & ~_AT) | np.arange(len(ids), dtype=np.uint64)
+        joined = ids[:-step] * _LEFT
+        joined += ids[step:] * _RIGHT
+        joined ^= joined >> _HIGH
+        ids, have = joined, have + step
+    return ids if have == gram else ids[:0]
+
+
+def anchors(ids: np.ndarray, ends: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors of joined texts (``ends``: the unit where each ends): place, next anchor (-1: none), first suffix and number
+    of windows of ``length`` units that have it, and its string's identifier."""
+    strings = gram_ids(ids, gram)
+    least = (strings & ~_AT) | np.arange(len(strings), dtype=np.uint64)
     have = 1
-    while have < spread:
-        step = min(have, spread - have)
+    while have < gram and len(least) > have:
+        step = min(have, gram - have)
         least, have = np.minimum(least[:-step], least[step:]), have + step
-    at = np.concatenate(windows)
+    left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(ids))
+    at = np.flatnonzero(left[: len(least)] >= 2 * gram - 1) if have == gram else np.empty(0, np.int64)
+    if not len(at):
+        return (np.empty(0, np.int64),) * 5
     anchor = (least[at] & _AT).astype(np.int64)
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
-    return at[first], np.diff(np.r_[first, len(at)]), anchor[first], ids[anchor[first]].view(np.int64)
+    place, start = anchor[first], at[first]
+    windows = np.clip(np.minimum(np.diff(np.r_[first, len(at)]), left[start] - length + 1), 0, None)
+    goes_on = left[place] >= 2 * gram
+    after = np.where(goes_on, (least[np.where(goes_on, place + 1, 0)] & _AT).astype(np.int64), -1)
+    return place, after, start, windows, strings[place].view(np.int64)
 
 
 def _digests(strings: Iterator[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in strings), np.int64).reshape(-1, 2)
 
 
-def _batch(columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    named = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named)], names=[n for n, _ in named])
 
 
-def first_pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Pieces of all whole texts (row, text); long ones are cut into slices that share ``length - 1`` bytes."""
+def first_anchors(texts: DataFrame, unit: type[Bytes] | type[Words], length: int, gram: int) -> DataFrame:
+    """Anchors of all whole texts (row, text), each with the piece of windows that have it. Long texts are cut into slices
+    that overlap by all that the anchors of a slice depend on; an anchor belongs to the slice where its windows begin."""
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes, int]]:
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
-                body = text.as_buffer() if text.is_valid else b""
-                for base in range(0, max(0, len(body) - length + 1), SLICE):
-                    yield row, base, bytes(body[base : base + SLICE + length - 1])
-
-    def pieces(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        data = b"".join(x[2] for x in held)
-        ends = np.cumsum([len(x[2]) for x in held])
-        start, windows, anchor, bucket = anchored_pieces(data, ends.tolist(), length, gram)
+                body = bytes(text.as_buffer()) if text.is_valid else b""
+                if len(body) <= SLICE:
+                    if len(body) >= length:
+                        yield row, 0, 0, body, 0
+                    continue
+                _, begin, end = unit.read(np.frombuffer(body, np.uint8))
+                for base in range(0, max(0, len(begin) - 2 * gram + 2), SLICE):
+                    low, high = max(0, base - 1), min(len(begin), base + SLICE + length + gram)
+                    yield row, low, base - low, body[begin[low] : end[high - 1]], int(begin[low])
+
+    def pieces(held: list[tuple[int, int, int, bytes, int]]) -> pa.RecordBatch:
+        data = np.frombuffer(b" ".join(x[3] for x in held) if unit is Words else b"".join(x[3] for x in held), np.uint8)
+        ids, begin, end = unit.read(data)
+        byte_ends = np.cumsum([len(x[3]) + (unit is Words) for x in held])
+        ends = np.searchsorted(begin, byte_ends)
+        place, after, start, windows, bucket = anchors(ids, ends, gram, length)
         of = np.searchsorted(ends, start, side="right")
-        begin = np.r_[0, ends[:-1]][of]
-        keys = _digests(data[a : a + n + length - 1] for a, n in zip(start.tolist(), windows.tolist()))
-        row, base = np.array([x[0] for x in held])[of], np.array([x[1] for x in held])[of]
-        return _batch([row, base + start - begin, windows, anchor - start, np.ones(len(start), bool), bucket, keys[:, 0], keys[:, 1]])
+        first = np.r_[0, ends[:-1]][of]
+        row, low, lead, from_byte = (np.array([x[i] for x in held])[of] for i in (0, 1, 2, 4))
+        inside = (start - first >= lead) & (start - first < lead + SLICE)
+        place, after, start, windows, bucket, of, first, row, low, from_byte = (x[inside] for x in (place, after, start, windows, bucket, of, first, row, low, from_byte))
+        last = np.where(windows > 0, start + windows + length - 2, start)
+        cells = ids if unit is Words else data
+        keys = _digests(cells[a : a + n + length - 1].tobytes() if n else b"" for a, n in zip(start.tolist(), windows.tolist()))
+        shift = low - first
+        off = from_byte + begin[start] - np.r_[0, byte_ends[:-1]][of]
+        columns = [row, place + shift, np.where(after < 0, -1, after + shift), start + shift, windows, off, end[last] - begin[start], bucket, keys[:, 0], keys[:, 1]]
+        return _batch(ANCHOR, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in slices(batches):
             held.append(part)
-            size += len(part[2])
+            size += len(part[3])
             if size >= SLICE:
                 yield pieces(held)
                 held, size = [], 0
         if held:
             yield pieces(held)
 
-    return texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECE)
+    return texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, ANCHOR)
+
+
+def _with_others(members: DataFrame) -> DataFrame:
+    """Members of buckets of two or more; ``members`` is deleted."""
+    live = write_table(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "suffix-live")
+    held = write_table(members.join(live, "bucket").select(*members.columns), "suffix-pointers")
+    drop_table(members)
+    drop_table(live)
+    return held
+
 
+def refine_pointers(pointers: DataFrame, rounds: int) -> DataFrame:
+    """Refines buckets by the pointers of the next anchors; each round reads what the round before it wrote."""
+    held = _with_others(pointers)
+    for _ in range(rounds):
+        later = held.select("row", F.col("pos").alias("next"), F.col("bucket").alias("later"))
+        joined = held.join(later, ["row", "next"]).withColumn("bucket", F.xxhash64("bucket", F.col("next") - F.col("pos"), "later")).select(*held.columns)
+        finer = write_table(joined, "suffix-finer")
+        drop_table(held)
+        held = _with_others(finer)
+    return held
 
-def cut_piece(context: bytes, at: int, size: int, length: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Smaller pieces of a piece: first window, windows, the bytes that all windows of the block share (with its number),
-    and all bytes. Blocks of ``size`` windows are counted from the anchor, which equal windows have in common."""
-    windows = len(context) - length + 1
-    for block in range((at - windows + 1) // size, at // size + 1):
-        low, high = max(0, at - size * block - size + 1), min(windows - 1, at - size * block)
-        shared = context[at - size * block : at - size * block - size + 1 + length]
-        yield low, high - low + 1, block.to_bytes(4, "little") + shared, context[low : high + length]
 
+def cut_piece(n_windows: int, at: int, size: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Smaller pieces of a piece whose first window lies ``at`` units before the anchor: first window, windows, block, and
+    the first of the units that all windows of the block share. Blocks of ``size`` windows are counted from the anchor,
+    which equal windows have in common."""
+    for block in range((at - n_windows + 1) // size, at // size + 1):
+        low, high = max(0, at - size * block - size + 1), min(n_windows - 1, at - size * block)
+        yield low, high - low + 1, block, at - size * block
 
-def smaller_pieces(members: DataFrame, texts: DataFrame, size: int, length: int) -> DataFrame:
+
+def smaller_pieces(members: DataFrame, texts: DataFrame, unit: type[Bytes] | type[Words], size: int, length: int) -> DataFrame:
     """Cuts the members of open buckets into pieces of ``size`` windows."""
-    context = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), F.col("windows") + length - 1)
-    held = members.join(texts.select("row", "text"), "row").select("row", "start", "at", "needed", context.alias("context"))
+    context = F.substring(F.col("text").cast("binary"), (F.col("off") + 1).cast("int"), F.col("size"))
+    held = members.join(texts.select("row", "text"), "row").select("row", "start", "windows", "at", "needed", "off", "bucket", context.alias("context"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("row", "start", "at", "needed", "context"))))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("row", "start", "windows", "at", "needed", "off", "bucket", "context"))))
             for i in range(0, len(rows), 2_000):
                 out, shared, full = [], [], []
-                for row, start, at, needed, body in rows[i : i + 2_000]:
-                    for low, n, common, whole in cut_piece(body, at, size, length):
-                        out.append((row, start + low, n, at - low, needed))
-                        shared.append(common)
-                        full.append(whole)
+                for row, start, windows, at, needed, off, bucket, body in rows[i : i + 2_000]:
+                    data = np.frombuffer(body, np.uint8)
+                    ids, begin, end = unit.read(data)
+                    cells, width = (ids.tobytes(), 8) if unit is Words else (body, 1)
+                    for low, n, block, common in cut_piece(windows, at, size, length):
+                        last = low + n + length - 2
+                        out.append((row, start + low, n, at - low, needed, off + int(begin[low]), int(end[last] - begin[low])))
+                        shared.append(b"%d %d " % (bucket, block) + cells[common * width : (common - size + 1 + length) * width])
+                        full.append(cells[low * width : (last + 1) * width])
                 if out:
-                    keys = _digests(iter(full))
-                    buckets = _digests(iter(shared))[:, 0]
-                    yield _batch([*map(list, zip(*out)), buckets, keys[:, 0], keys[:, 1]])
+                    keys, buckets = _digests(iter(full)), _digests(iter(shared))[:, 0]
+                    yield _batch(PIECE, [*map(list, zip(*out)), buckets, keys[:, 0], keys[:, 1]])
 
     return held.mapInArrow(run, PIECE)
 
 
-def _refine(pieces: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+def _classes(pieces: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Splits buckets into classes: repeated pieces (row, start, windows), and the members of buckets still open.
 
     A bucket is open if a needed piece has no equal but other classes share its bucket. Of each class one member goes on:
     pieces with equals are repeated already and serve as partners only. All groupings combine on the map side and all
     joins are plain ones between tables, which Spark can split when a bucket is hot.
     """
-    pieces = write_table(pieces, "suffix-pieces")
-    live = write_table(pieces.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "suffix-live")
-    held = write_table(pieces.join(live, "bucket"), "suffix-held")
-    drop_table(pieces)
     key = ["bucket", "k1", "k2"]
     classes = write_table(
-        held.groupBy(*key).agg(F.count("*").alias("n"), F.max("needed").alias("needed"), F.min(F.struct("row", "start", "windows", "at")).alias("one"))
+        pieces.groupBy(*key).agg(F.count("*").alias("n"), F.max("needed").alias("needed"), F.min(F.struct("row", "start", "windows", "at", "off", "size")).alias("one"))
         .withColumn("needed", F.col("needed") & (F.col("n") == 1)),
         "suffix-classes",
     )
-    repeated = write_table(held.join(classes.where("n > 1").select(*key), key).select("row", "start", "windows"), "suffix-repeated")
+    repeated = write_table(pieces.join(classes.where("n > 1").select(*key), key).select("row", "start", "windows"), "suffix-repeated")
+    members = None
+    if not last:
+        still = write_table(classes.groupBy("bucket").agg(F.max("needed").alias("open"), F.count("*").alias("kinds")).where("open and kinds > 1").select("bucket"), "suffix-open")
+        members = write_table(classes.join(still, "bucket").select("one.*", "needed", "bucket"), "suffix-members")
+    drop_table(classes)
+    return repeated, members
+
+
+def repeated_spans(texts: DataFrame, unit: type[Bytes] | type[Words], length: int) -> DataFrame:
+    """Spans (row, starts, ends: arrays in units, not merged) of ``length``-unit strings that also start elsewhere."""
+    # three anchors in a row, with all that they depend on, fit into a window; for short windows one anchor does
+    rounds = 2 if length >= 100 else 0
+    gram = (length + 1) // (rounds + 2)
+    held = refine_pointers(write_table(first_anchors(texts, unit, length, gram), "suffix-anchors"), rounds)
+    pieces = held.where("windows > 0").select("row", "start", "windows", (F.col("pos") - F.col("start")).cast("int").alias("at"), F.lit(True).alias("needed"), "off", "size", "bucket", "k1", "k2")
+    found, members = _classes(pieces, False)
     drop_table(held)
-    if last:
-        return repeated, None
-    still = write_table(classes.groupBy("bucket").agg(F.max("needed").alias("open"), F.count("*").alias("kinds")).where("open and kinds > 1").select("bucket"), "suffix-open")
-    return repeated, write_table(classes.join(still, "bucket").select("one.*", "needed"), "suffix-members")
+    repeated = [found]
+    for size in CUTS:
+        smaller = _with_others(write_table(smaller_pieces(members, texts, unit, size, length), "suffix-smaller"))
+        drop_table(members)
+        found, members = _classes(smaller, size == CUTS[-1])
+        drop_table(smaller)
+        repeated.append(found)
+    spans = repeated[0].union(repeated[1]).union(repeated[2]).select("row", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"))
+    return write_table(spans.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "suffix-spans")
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,41 +266,42 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[first], reach[np.r_[first[1:] - 1, len(reach) - 1]]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per document: key, n_bytes, spans (removed bytes: start, end exclusive; maximal runs), kept (binary).
+def _merged(starts: pa.ListScalar, ends: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    if not starts.is_valid:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return merge_spans(starts.values.to_numpy(), ends.values.to_numpy())
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """One row per document: key, n_bytes, spans (removed bytes: start, end exclusive; maximal runs), kept (binary),
+    n_passage_words.
 
     Removes each byte that is covered by a ``length``-byte string which also starts anywhere else, in the same text or
-    another. Null texts are empty; repeated rows repeat each other; keys may be null or repeat (rows are numbered in a
-    table of their own); texts shorter than ``length`` stay whole; an empty table gives an empty result.
+    another. n_passage_words reports, and removes nothing for, the words covered by a run of ``passage`` words (white
+    space apart, case as it is) that also starts anywhere else: such a passage may be shorter than ``length`` bytes.
+    Null texts are empty; repeated rows repeat each other; keys may be null or repeat (rows are numbered in a table of
+    their own); texts shorter than ``length`` stay whole; an empty table gives an empty result.
     """
-    gram = min(gram, length)
     texts = write_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), "suffix-texts")
-    found, open_pieces = _refine(first_pieces(texts, length, gram), False)
-    repeated = [found]
-    for size in CUTS:
-        found, open_pieces = _refine(smaller_pieces(open_pieces, texts, size, length), size == CUTS[-1])
-        repeated.append(found)
-    spans = repeated[0].union(repeated[1]).union(repeated[2]).select("row", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"))
-    by_row = write_table(spans.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "suffix-spans")
+    by_row = repeated_spans(texts, Bytes, length)
+    words = repeated_spans(texts, Words, passage).select("row", F.col("starts").alias("word_starts"), F.col("ends").alias("word_ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                bodies, kept, spans = [x.as_buffer() for x in part.column("text")], [], []
-                for body, a, b in zip(bodies, part.column("starts"), part.column("ends")):
-                    if not a.is_valid:
-                        kept.append(bytes(body))
-                        spans.append([])
-                        continue
-                    start, end = merge_spans(a.values.to_numpy(), b.values.to_numpy())
-                    kept.append(b"".join(bytes(body[i:j]) for i, j in zip([0, *end.tolist()], [*start.tolist(), len(body)])))
-                    spans.append([{"start": i, "end": j} for i, j in zip(start.tolist(), end.tolist())])
+                bodies, kept, spans, covered = [x.as_buffer() for x in part.column("text")], [], [], []
+                for body, *listed in zip(bodies, *(part.column(c) for c in ("starts", "ends", "word_starts", "word_ends"))):
+                    start, end = (x.tolist() for x in _merged(*listed[:2]))
+                    first, last = _merged(*listed[2:])
+                    kept.append(b"".join(bytes(body[i:j]) for i, j in zip([0, *end], [*start, len(body)])))
+                    spans.append([{"start": i, "end": j} for i, j in zip(start, end)])
+                    covered.append(int((last - first).sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array([len(x) for x in bodies], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                    names=["key", "n_bytes", "spans", "kept"],
+                    [part.column("key"), pa.array([len(x) for x in bodies], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(covered, pa.int64())],
+                    names=["key", "n_bytes", "spans", "kept", "n_passage_words"],
                 )
 
-    marked = texts.withColumn("text", F.col("text").cast("binary")).join(by_row, "row", "left").select("key", "text", "starts", "ends")
+    marked = texts.withColumn("text", F.col("text").cast("binary")).join(by_row.join(words, "row", "full"), "row", "left").select("key", "text", "starts", "ends", "word_starts", "word_ends")
     kind = docs.schema[key].dataType.simpleString()
-    return marked.mapInArrow(cut, f"key {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("key", key)
+    return marked.mapInArrow(cut, f"key {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, n_passage_words long").withColumnRenamed("key", key)

@@ -222,22 +222,36 @@ def test_the_pipeline_decodes(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(list(r.ids), skip_special_tokens=False).encode()).hexdigest()
 
 
-def repeats(texts, length):
-    raw, n = [(t or "").encode() for t in texts], Counter()
-    for x in raw:
-        n.update(x[i : i + length] for i in range(len(x) - length + 1))
+def repeats(units, length):
+    """Of lists of units: which lie under a string of ``length`` units that starts twice or more."""
+    n = Counter()
+    for x in units:
+        n.update(tuple(x[i : i + length]) for i in range(len(x) - length + 1))
     out = []
-    for x in raw:
+    for x in units:
         gone = bytearray(len(x))
         for i in range(len(x) - length + 1):
-            if n[x[i : i + length]] > 1:
+            if n[tuple(x[i : i + length])] > 1:
                 gone[i : i + length] = b"\1" * length
-        out.append((len(x), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(c for c, g in zip(x, gone) if not g)))
+        out.append(gone)
     return out
 
 
-@pytest.mark.parametrize(("length", "gram"), [(40, 20), (400, 200)])
-def test_repeats_are_brute_force(spark, length, gram):
+def same_repeats(spark, texts, length, passage):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [(r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept), r.n_passage_words) for r in suffixes.remove_repeats(df, length=length, passage=passage).orderBy("doc_id").collect()]
+    raw = [(t or "").encode() for t in texts]
+    words = [re.findall(rb"[^\x20\x09-\x0d]+", x) for x in raw]
+    want = [
+        (len(x), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(c for c, g in zip(x, gone) if not g), sum(covered))
+        for x, gone, covered in zip(raw, repeats(raw, length), repeats(words, passage))
+    ]
+    assert got == want
+    return want
+
+
+@pytest.mark.parametrize(("length", "passage"), [(40, 6), (400, 51), (130, 20)])
+def test_repeats_are_brute_force(spark, length, passage):
     rng = random.Random(length)
     some = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     stock, texts = [some(rng.randint(length, 5 * length)) for _ in range(6)], ["ab" * length, some(length - 1), *ODD[:8]]
@@ -245,9 +259,21 @@ def test_repeats_are_brute_force(spark, length, gram):
         t = rng.choice(stock)
         a = rng.randrange(len(t))
         texts.append(rng.choice([t, t[:a] + "#" + t[a + 1 :], some(9) + t[a : a + rng.randint(length - 2, 2 * length)] + some(30), some(rng.randint(0, 3 * length))]))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    cut = suffixes.remove_repeats(df, length=length, gram=gram).orderBy("doc_id").collect()
-    assert [(r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in cut] == repeats(texts, length)
+    want = same_repeats(spark, texts, length, passage)
+    assert sum(w[1] for w in want) > 0 and sum(w[4] for w in want) > 0
+
+
+def test_repeats_across_slices(spark, monkeypatch):
+    """Texts of many slices: repeats that begin, end or lie across where slices meet."""
+    rng = random.Random(21)
+    monkeypatch.setattr(suffixes, "SLICE", 700)
+    some = lambda n: "".join(rng.choice("abcde  ") for _ in range(n))
+    long, texts = some(6_000), []
+    for _ in range(12):
+        a = rng.randrange(5_000)
+        texts.append(some(rng.randrange(3_000)) + long[a : a + rng.randint(395, 1_000)] + some(rng.randrange(2_000)))
+    want = same_repeats(spark, [long, *texts, texts[0]], 400, 51)
+    assert sum(w[1] for w in want) > 5_000
 
 
 def earliest_deadlines(shares, blocks):
