@@ -90,8 +90,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int = CH
 
     Columns vec_id, embedding (array of numbers) and label; only vectors of equal, non-null labels and equal length are
     compared, in double precision. A vector that is null, empty, zero or holds null or non-finite components links with
-    nothing. Equal vectors of a label are grouped first and counted by their number. Rows that share a vec_id with
-    different vectors fall in one component; a row with null vec_id has links like others. Nothing is capped.
+    nothing. Equal vectors of a label are grouped first and counted by their number; each group has a number of its own,
+    so rows that share a vec_id have their own links, and only links join components. A row with null vec_id has links
+    like others, and a component of null ids only has none. Extra columns are left; an empty table gives an empty
+    result. Nothing is capped.
     """
     near = float(np.sqrt(2 - 2 * threshold)) + 1e-6
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
@@ -100,7 +102,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, chunk: int = CH
     held = write_table(rows.withColumn("ok", F.coalesce(sound, F.lit(False))), "vectors")
     groups = write_table(
         held.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-        .select("label", "v", "least", F.coalesce("least", F.xxhash64("label", "v")).alias("node"), "copies", F.transform("v", lambda x: x / size).alias("unit")),
+        .select("label", "v", "least", F.monotonically_increasing_id().alias("node"), "copies", F.transform("v", lambda x: x / size).alias("unit")),
         "vector-groups",
     )
     axes = principal_axes(groups)
