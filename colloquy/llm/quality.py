@@ -203,12 +203,17 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, *
     """
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    counts = with_counts(known).select("_quality", *[F.expr(_within(e, "_counts")).cast("double").alias(f) for f, e in RATIOS.items()])
+    stats = F.struct("_quality", *[F.expr(_within(e, "_counts")).cast("double").alias(f) for f, e in RATIOS.items()])
+    counts = with_counts(known).groupBy("doc_id").agg(F.min(stats).alias("one")).select("one.*")  # one row an id, should it repeat
     rows = counts.toPandas().sort_values(list(RATIOS)).reset_index(drop=True)
     return learn_rules(rows, (rows["_quality"] == 0).to_numpy(bool), **options)
 
 
 def judge_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds ``_counts``, ``base_failed`` and ``kept`` (not base_failed, and no rule rejects it) to each document."""
+    """Adds ``_counts``, ``base_failed`` and ``kept`` (not base_failed, and no rule rejects it) to each document.
+
+    Columns of those three names are replaced, all others stay; a null text has no words and fails; repeated rows are
+    judged one by one; an empty table gives an empty result.
+    """
     judged = with_counts(docs)
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules_expression(rules))
