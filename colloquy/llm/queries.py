@@ -51,9 +51,13 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    found = pii.find_spans(docs, pii.fit_field(docs)).drop("text")
-    of_kind = lambda kind: F.size(F.filter("pii_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(of_kind, pii.KINDS), F.sha2(pii.span_text("base_spans"), 256).alias("base_sha256"), pii.span_text("pii_spans").alias("spans"))
+    found = pii.find_spans(docs, pii.fit_field()).drop("text")
+    of_kind = lambda column, kind: F.size(F.filter(column, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = [of_kind("base_spans", kind) for kind in pii.BASE_KINDS]
+    return found.select(
+        "doc_id", *base, F.sha2(pii.span_text("base_spans"), 256).alias("base_sha256"), pii.span_text("pii_spans").alias("spans"),
+        F.size("pii_spans").cast("long").alias("n_spans"), of_kind("pii_spans", "secret"),
+    )
 
 
 #: Target shares of the sources by volume of text; any other source falls in the rest.
