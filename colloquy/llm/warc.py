@@ -75,12 +75,26 @@ def _record(date: str) -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", most_records: int = 20_000) -> None:
-    """Writes records (page_id, uri, payload, payload_bytes, payload_digest, record_type, refers_to) as gzip archives."""
-    (
-        records.select(_record(date).alias("value")).write
-        .option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
-    )
+#: Payload bytes that records of one archive have at most; a larger record has an archive of its own.
+ARCHIVE_BYTES = 128 << 20
+#: Records of up to so many payload bytes share archives with their like.
+SIZES = (16 << 10, 1 << 20)
+
+
+def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Writes records (page_id, uri, payload, payload_bytes, payload_digest, record_type, refers_to) as gzip archives.
+
+    Records are written by size, so that a number of records bounds the bytes of an archive. White space and controls in
+    a URI are written as %20. Records that share a page_id share a record id.
+    """
+    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    for low, high in zip((-1, *SIZES), (*SIZES, 1 << 62)):
+        if low < largest:
+            part = records.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+            (
+                part.select(_record(date).alias("value")).write.mode("append")
+                .option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // high)).text(path)
+            )
 
 
 def _parse(archive: bytes) -> Iterator[tuple]:
