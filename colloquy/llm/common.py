@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,9 +31,12 @@ def ascii_lower(text: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where that is unset a local session gets a
+    temporary one; on a cluster that is an error, for a machine's own folder would be seen by one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -96,8 +96,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The row with the smallest key of each group (nulls last; of repeated rows, one), all columns as they are."""
-    rows = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    named = rows.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_row").alias("row")).alias("_name"), F.col(text).alias("_text"))
-    found = near_duplicates(named, "_text", "_name")
-    kept = write_table(found.where("_name = component_id").select(F.col("_name.row").alias("_row")), "simhash-kept")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = write_table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "simhash-rows")
+    keyed = F.col(f"doc.`{key}`")
+    named = rows.select(F.struct(keyed.isNull().alias("none"), keyed.alias("key"), "row").alias("name"), F.col(f"doc.`{text}`").alias("body"))
+    found = near_duplicates(named, "body", "name")
+    kept = write_table(found.where("name = component_id").select("name.row"), "simhash-kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
