@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -63,6 +64,13 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: its cleaner waits for the driver's
+    garbage collections, which are rare, and a query of many steps would hold the files of them all."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cuts Arrow batches into runs of rows whose texts hold about ``most_chars`` characters, so batch memory stays bounded."""
     for frame in frames:

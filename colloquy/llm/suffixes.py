@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import drop_table, write_table
+from colloquy.llm.common import drop_table, free_shuffles, write_table
 
 #: Bytes of a string that must not start twice, and words of a passage that is reported when it does.
 LENGTH, PASSAGE = 400, 51
@@ -161,9 +161,11 @@ def first_anchors(texts: DataFrame, unit: type[Bytes] | type[Words], length: int
 def _with_others(members: DataFrame) -> DataFrame:
     """Members of buckets of two or more; ``members`` is deleted."""
     live = write_table(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "suffix-live")
-    held = write_table(members.join(live, "bucket").select(*members.columns), "suffix-pointers")
+    # the few live buckets of a partition are hashed, so that the many members need no sorting
+    held = write_table(members.join(live.hint("shuffle_hash"), "bucket").select(*members.columns), "suffix-pointers")
     drop_table(members)
     drop_table(live)
+    free_shuffles(members.sparkSession)
     return held
 
 
@@ -172,7 +174,7 @@ def refine_pointers(pointers: DataFrame, rounds: int) -> DataFrame:
     held = _with_others(pointers)
     for _ in range(rounds):
         later = held.select("row", F.col("pos").alias("next"), F.col("bucket").alias("later"))
-        joined = held.join(later, ["row", "next"]).withColumn("bucket", F.xxhash64("bucket", F.col("next") - F.col("pos"), "later")).select(*held.columns)
+        joined = held.join(later.hint("shuffle_hash"), ["row", "next"]).withColumn("bucket", F.xxhash64("bucket", F.col("next") - F.col("pos"), "later")).select(*held.columns)
         finer = write_table(joined, "suffix-finer")
         drop_table(held)
         held = _with_others(finer)
@@ -221,17 +223,17 @@ def _classes(pieces: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None
     pieces with equals are repeated already and serve as partners only. All groupings combine on the map side and all
     joins are plain ones between tables, which Spark can split when a bucket is hot.
     """
-    key = ["bucket", "k1", "k2"]
+    key, one = ["bucket", "k1", "k2"], ["row", "start", "windows", "at", "off", "size"]
     classes = write_table(
-        pieces.groupBy(*key).agg(F.count("*").alias("n"), F.max("needed").alias("needed"), F.min(F.struct("row", "start", "windows", "at", "off", "size")).alias("one"))
+        pieces.groupBy(*key).agg(F.count("*").alias("n"), F.max("needed").alias("needed"), *[F.first(c).alias(c) for c in one])  # any member, as they are equal
         .withColumn("needed", F.col("needed") & (F.col("n") == 1)),
         "suffix-classes",
     )
-    repeated = write_table(pieces.join(classes.where("n > 1").select(*key), key).select("row", "start", "windows"), "suffix-repeated")
+    repeated = write_table(pieces.join(classes.where("n > 1").select(*key).hint("shuffle_hash"), key).select("row", "start", "windows"), "suffix-repeated")
     members = None
     if not last:
         still = write_table(classes.groupBy("bucket").agg(F.max("needed").alias("open"), F.count("*").alias("kinds")).where("open and kinds > 1").select("bucket"), "suffix-open")
-        members = write_table(classes.join(still, "bucket").select("one.*", "needed", "bucket"), "suffix-members")
+        members = write_table(classes.join(still.hint("shuffle_hash"), "bucket").select(*one, "needed", "bucket"), "suffix-members")
     drop_table(classes)
     return repeated, members
 
