@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,7 @@ def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more: its cleaner waits for the driver's
     garbage collections, which are rare, and a query of many steps would hold the files of them all."""
     gc.collect()
+    time.sleep(0.3)  # for listeners that still hold the last plan
     spark.sparkContext._jvm.System.gc()
 
 
@@ -133,3 +136,32 @@ def base32_of_sha1(payload: Column) -> Column:
         value = F.conv(F.substring(F.concat(digest, F.lit("0")), at + 1, 2), 16, 10).cast("int")
         letters.append(F.substring(alphabet, F.shiftright(value, 3 - shift).bitwiseAND(31) + 1, F.lit(1)))
     return F.concat(*letters)
+
+
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of unsigned keys in ascending order, equal ones as they come, and the keys in that order."""
+    index = max(1, len(keys).bit_length())
+    if not len(keys) or int(keys.max()) >> (64 - index):
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    packed = np.sort((keys << np.uint64(index)) | np.arange(len(keys), dtype=np.uint64))  # much faster than an indirect sort
+    return (packed & np.uint64((1 << index) - 1)).astype(np.int64), packed >> np.uint64(index)
+
+
+def to_planes(values: np.ndarray) -> bytes:
+    """Whole numbers, byte plane after byte plane: planes of zeros cost nothing once compressed."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def range_edges(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of ``bits``-bit keys begins among ascending keys, and where the last one ends."""
+    part = (((keys >> np.uint64(bits - 30)) * np.uint64(parts)) >> np.uint64(30)).astype(np.int64)
+    return np.searchsorted(part, np.arange(parts + 1))

@@ -19,11 +19,13 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import drop_table, free_shuffles, write_table
+from colloquy.llm.common import drop_table, free_shuffles, from_planes, in_order, range_edges, to_planes, write_table
 
 #: Bytes of a string that must not start twice, and words of a passage that is reported when it does.
 LENGTH, PASSAGE = 400, 51
@@ -108,54 +110,143 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named)], names=[n for n, _ in named])
 
 
-def first_anchors(texts: DataFrame, unit: type[Bytes] | type[Words], length: int, gram: int) -> DataFrame:
-    """Anchors of all whole texts (row, text), each with the piece of windows that have it. Long texts are cut into slices
-    that overlap by all that the anchors of a slice depend on; an anchor belongs to the slice where its windows begin."""
+CHUNK, ASKED, TOLD = "chunk long, rows array<long>, texts array<binary>", "part int, kind int, chunk long, keys binary", "chunk long, kind int, part int, shared binary"
+#: Bytes of texts for each range of identifiers.
+RANGE_BYTES = 16 << 20
+Kind = tuple[type[Bytes] | type[Words], int, int]
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes, int]]:
-        for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
-                body = bytes(text.as_buffer()) if text.is_valid else b""
-                if len(body) <= SLICE:
-                    if len(body) >= length:
-                        yield row, 0, 0, body, 0
-                    continue
-                _, begin, end = unit.read(np.frombuffer(body, np.uint8))
-                for base in range(0, max(0, len(begin) - 2 * gram + 2), SLICE):
-                    low, high = max(0, base - 1), min(len(begin), base + SLICE + length + gram)
-                    yield row, low, base - low, body[begin[low] : end[high - 1]], int(begin[low])
-
-    def pieces(held: list[tuple[int, int, int, bytes, int]]) -> pa.RecordBatch:
-        data = np.frombuffer(b" ".join(x[3] for x in held) if unit is Words else b"".join(x[3] for x in held), np.uint8)
-        ids, begin, end = unit.read(data)
-        byte_ends = np.cumsum([len(x[3]) + (unit is Words) for x in held])
-        ends = np.searchsorted(begin, byte_ends)
-        place, after, start, windows, bucket = anchors(ids, ends, gram, length)
-        of = np.searchsorted(ends, start, side="right")
-        first = np.r_[0, ends[:-1]][of]
-        row, low, lead, from_byte = (np.array([x[i] for x in held])[of] for i in (0, 1, 2, 4))
-        inside = (start - first >= lead) & (start - first < lead + SLICE)
-        place, after, start, windows, bucket, of, first, row, low, from_byte = (x[inside] for x in (place, after, start, windows, bucket, of, first, row, low, from_byte))
-        last = np.where(windows > 0, start + windows + length - 2, start)
-        cells = ids if unit is Words else data
-        keys = _digests(cells[a : a + n + length - 1].tobytes() if n else b"" for a, n in zip(start.tolist(), windows.tolist()))
-        shift = low - first
-        off = from_byte + begin[start] - np.r_[0, byte_ends[:-1]][of]
-        columns = [row, place + shift, np.where(after < 0, -1, after + shift), start + shift, windows, off, end[last] - begin[start], bucket, keys[:, 0], keys[:, 1]]
-        return _batch(ANCHOR, columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for part in slices(batches):
-            held.append(part)
-            size += len(part[3])
+def make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows (row, text) in chunks of about SLICE bytes or one longer text."""
+    number, rows, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+    def chunk() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([rows], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], names=["chunk", "rows", "texts"])
+
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+            rows.append(row)
+            texts.append(text or b"")
+            size += len(text or b"") + 16
+            if size >= SLICE:
+                yield chunk()
+                number, rows, texts, size = number + 1, [], [], 0
+    if rows:
+        yield chunk()
+
+
+def _slices(rows: list[int], texts: list[bytes], kind: Kind) -> Iterator[list[tuple[int, int, int, bytes, int]]]:
+    """A chunk's texts, some together: row, first unit, whether one unit leads, bytes, and their place in the text. Long
+    texts are cut into slices that overlap by all that the anchors of a slice depend on."""
+    unit, length, gram = kind
+    held, size = [], 0
+    for row, body in zip(rows, texts):
+        if len(body) > SLICE:
+            _, begin, end = unit.read(np.frombuffer(body, np.uint8))
+            for base in range(0, max(0, len(begin) - 2 * gram + 2), SLICE):
+                low, high = max(0, base - 1), min(len(begin), base + SLICE + length + gram)
+                yield [(row, low, base - low, body[begin[low] : end[high - 1]], int(begin[low]))]
+        elif len(body) >= length:
+            held.append((row, 0, 0, body, 0))
+            size += len(body)
             if size >= SLICE:
-                yield pieces(held)
+                yield held
                 held, size = [], 0
-        if held:
-            yield pieces(held)
+    if held:
+        yield held
+
+
+def _strings(rows: list[int], texts: list[bytes], kind: Kind) -> np.ndarray:
+    """Identifiers of the strings at all anchors of a chunk; an anchor belongs to the slice where its windows begin."""
+    return np.concatenate([np.empty(0, np.int64), *(_anchored(held, kind)[1][4] for held in _slices(rows, texts, kind))]).view(np.uint64)
+
+
+def _anchored(held: list[tuple[int, int, int, bytes, int]], kind: Kind) -> tuple:
+    unit, length, gram = kind
+    data = np.frombuffer((b" " if unit is Words else b"").join(x[3] for x in held), np.uint8)
+    ids, begin, end = unit.read(data)
+    byte_ends = np.cumsum([len(x[3]) + (unit is Words) for x in held])
+    ends = np.searchsorted(begin, byte_ends)
+    found = anchors(ids, ends, gram, length)
+    of = np.searchsorted(ends, found[2], side="right")
+    first = np.r_[0, ends[:-1]][of]
+    lead = np.array([x[2] for x in held])[of]
+    inside = (found[2] - first >= lead) & (found[2] - first < lead + SLICE)
+    return (data, ids, begin, end, byte_ends), tuple(x[inside] for x in found), of[inside], first[inside]
+
+
+def _pieces(held: list[tuple[int, int, int, bytes, int]], kind: Kind, number: int, live: np.ndarray) -> pa.RecordBatch:
+    """Anchors whose strings are in ``live``, each with the piece of windows that have it."""
+    unit, length, _ = kind
+    (data, ids, begin, end, byte_ends), found, of, first = _anchored(held, kind)
+    strings = found[4].view(np.uint64)
+    kept = live[np.minimum(np.searchsorted(live, strings), len(live) - 1)] == strings if len(live) else np.zeros(len(strings), bool)
+    (place, after, start, windows, bucket), of, first = (x[kept] for x in found), of[kept], first[kept]
+    row, low, from_byte = (np.array([x[i] for x in held])[of] for i in (0, 1, 4))
+    last = np.where(windows > 0, start + windows + length - 2, start)
+    cells = ids if unit is Words else data
+    keys = _digests(cells[a : a + n + length - 1].tobytes() if n else b"" for a, n in zip(start.tolist(), windows.tolist()))
+    shift = low - first
+    off = from_byte + begin[start] - np.r_[0, byte_ends[:-1]][of]
+    columns = [np.full(len(row), number), row, place + shift, np.where(after < 0, -1, after + shift), start + shift, windows, off, end[last] - begin[start], bucket, keys[:, 0], keys[:, 1]]
+    return _batch(f"kind int, {ANCHOR}", columns)
+
+
+def _tell(asked: pd.DataFrame) -> pd.DataFrame:
+    """Of one range of identifiers: which ones come twice or more, for every chunk that asked."""
+    lists = [np.cumsum(from_planes(k)) for k in asked["keys"]]
+    keys = np.concatenate(lists)
+    order, ordered = in_order(keys)
+    fresh = np.r_[True, ordered[1:] != ordered[:-1]]
+    shared = np.empty(len(keys), np.uint64)
+    shared[order] = ~fresh | ~np.r_[fresh[1:], True]
+    edges = np.cumsum([0, *map(len, lists)])
+    return pd.DataFrame({"chunk": asked["chunk"], "kind": asked["kind"], "part": asked["part"], "shared": [to_planes(shared[a:b]) for a, b in zip(edges[:-1], edges[1:])]})
+
+
+def first_anchors(texts: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """Anchors of all whole texts (row, text) whose strings come twice or more: the initial buckets.
+
+    Most strings come once. So that these need no rows of their own, each chunk of texts asks for its distinct strings in
+    sorted arrays cut by ranges, and each range is looked through by a task of its own.
+    """
+    chunks = write_table(texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(make_chunks, CHUNK), "suffix-chunks")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4, -(-size // RANGE_BYTES))
 
-    return texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, ANCHOR)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, rows, bodies in zip(*(batch.column(c) for c in ("chunk", "rows", "texts"))):
+                out: list[list] = [[], [], [], []]
+                for k, kind in enumerate(kinds):
+                    _, strings = in_order(_strings(rows.as_py(), bodies.as_py(), kind))
+                    # a string that comes twice here is asked for twice, which is enough to find it shared
+                    strings = strings[np.r_[True, True, strings[2:] != strings[:-2]][: len(strings)]]
+                    edges = range_edges(strings, 64, parts)
+                    for part in np.flatnonzero(np.diff(edges)).tolist():
+                        own = strings[edges[part] : edges[part + 1]]
+                        for column, value in zip(out, (part, k, number.as_py(), to_planes(np.r_[own[0], np.diff(own)]))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["part", "kind", "chunk", "keys"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, bodies, told in zip(*(batch.column(c) for c in ("rows", "texts", "told"))):
+                rows, bodies, told = rows.as_py(), bodies.as_py(), sorted(told.as_py() or [], key=lambda x: x["part"])
+                for k, kind in enumerate(kinds):
+                    _, strings = in_order(_strings(rows, bodies, kind))
+                    strings = strings[np.r_[True, True, strings[2:] != strings[:-2]][: len(strings)]]
+                    shared = np.concatenate([np.empty(0, np.uint64), *(from_planes(x["shared"]) for x in told if x["kind"] == k)])
+                    live = np.unique(strings[shared > 0])
+                    for held in _slices(rows, bodies, kind):
+                        yield _pieces(held, kind, k, live)
+
+    told = write_table(chunks.select("chunk", "rows", "texts").mapInArrow(ask, ASKED).groupBy("part", "kind").applyInPandas(_tell, TOLD), "suffix-told")
+    answers = told.groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "shared")).alias("told"))
+    found = write_table(chunks.join(answers, "chunk", "left").mapInArrow(emit, f"kind int, {ANCHOR}"), "suffix-anchors")
+    drop_table(chunks)
+    drop_table(told)
+    return found
 
 
 def _with_others(members: DataFrame) -> DataFrame:
@@ -169,15 +260,12 @@ def _with_others(members: DataFrame) -> DataFrame:
     return held
 
 
-def refine_pointers(pointers: DataFrame, rounds: int) -> DataFrame:
+def refine_pointers(held: DataFrame, rounds: int) -> DataFrame:
     """Refines buckets by the pointers of the next anchors; each round reads what the round before it wrote."""
-    held = _with_others(pointers)
     for _ in range(rounds):
         later = held.select("row", F.col("pos").alias("next"), F.col("bucket").alias("later"))
         joined = held.join(later.hint("shuffle_hash"), ["row", "next"]).withColumn("bucket", F.xxhash64("bucket", F.col("next") - F.col("pos"), "later")).select(*held.columns)
-        finer = write_table(joined, "suffix-finer")
-        drop_table(held)
-        held = _with_others(finer)
+        held = _with_others(write_table(joined, "suffix-finer"))
     return held
 
 
@@ -238,15 +326,17 @@ def _classes(pieces: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None
     return repeated, members
 
 
-def repeated_spans(texts: DataFrame, unit: type[Bytes] | type[Words], length: int) -> DataFrame:
+def rounds_for(length: int) -> int:
+    """Three anchors in a row, with all that they depend on, fit into a window; into a short one, one anchor."""
+    return 2 if length >= 100 else 0
+
+
+def repeated_spans(anchored: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
     """Spans (row, starts, ends: arrays in units, not merged) of ``length``-unit strings that also start elsewhere."""
-    # three anchors in a row, with all that they depend on, fit into a window; for short windows one anchor does
-    rounds = 2 if length >= 100 else 0
-    gram = (length + 1) // (rounds + 2)
-    held = refine_pointers(write_table(first_anchors(texts, unit, length, gram), "suffix-anchors"), rounds)
+    unit, length, _ = kind
+    held = refine_pointers(anchored, rounds_for(length))
     pieces = held.where("windows > 0").select("row", "start", "windows", (F.col("pos") - F.col("start")).cast("int").alias("at"), F.lit(True).alias("needed"), "off", "size", "bucket", "k1", "k2")
     found, members = _classes(pieces, False)
-    drop_table(held)
     repeated = [found]
     for size in CUTS:
         smaller = _with_others(write_table(smaller_pieces(members, texts, unit, size, length), "suffix-smaller"))
@@ -285,8 +375,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     their own); texts shorter than ``length`` stay whole; an empty table gives an empty result.
     """
     texts = write_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), "suffix-texts")
-    by_row = repeated_spans(texts, Bytes, length)
-    words = repeated_spans(texts, Words, passage).select("row", F.col("starts").alias("word_starts"), F.col("ends").alias("word_ends"))
+    kinds = [(unit, n, (n + 1) // (rounds_for(n) + 2)) for unit, n in ((Bytes, length), (Words, passage))]
+    anchored = first_anchors(texts, kinds)
+    by_row, words = (repeated_spans(anchored.where(F.col("kind") == k).drop("kind"), texts, kind) for k, kind in enumerate(kinds))
+    words = words.select("row", F.col("starts").alias("word_starts"), F.col("ends").alias("word_ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
