@@ -30,6 +30,23 @@ def distance(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
+def cosine_distance(a: Column | str, b: Column | str) -> Column:
+    """One less the cosine; null if either vector is zero."""
+    return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def softmax(values: Column | str) -> Column:
+    """Exponentials of an array, shifted by its maximum, over their sum."""
+    raised = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
+    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+
+
+def stars(p: Column, tests: Column | int) -> Column:
+    """Marks of significance after Bonferroni's correction for a number of tests: *** below 0.001, ** 0.01, * 0.05."""
+    corrected = p * tests
+    return F.when(corrected < 0.001, "***").when(corrected < 0.01, "**").when(corrected < 0.05, "*").otherwise("")
+
+
 @F.pandas_udf(T.DoubleType())
 def gzip_ratio(texts: pd.Series) -> pd.Series:
     """Compressed size over size in UTF-8; 0 for empty or null."""

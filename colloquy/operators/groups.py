@@ -46,8 +46,9 @@ def max_purity(rows: DataFrame, cluster: str, target: Column, floor: int) -> Dat
 
 
 def winners(table: DataFrame, by: str, cluster: str) -> DataFrame:
-    """Per ``by``, the cluster with the highest enrichment (ties: smaller cluster)."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("enrichment", 9)), cluster))
+    """Per ``by``, the cluster with the highest enrichment (ties: smaller p where the table has it, then smaller cluster)."""
+    tie = [F.round("p", 9)] if "p" in table.columns else []
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("enrichment", 9)), *tie, cluster))
     return table.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 

@@ -53,13 +53,25 @@ def tfidf(counts: DataFrame, n_documents: int, key: str, least_df: int = 2, subl
     return raw.select(key, "term", (F.col("w") / size).alias("weight"))
 
 
-def word_counts(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Counts of lower-cased words of two or more letters, digits or underscores, without stop words."""
+def word_counts(documents: DataFrame, key: str, text: str, longest: int = 1) -> DataFrame:
+    """Counts of lower-cased words of two or more letters, digits or underscores, without stop words; with ``longest`` 2
+    also of neighbours among those that are left, joined by a blank."""
     left_out = F.array(*[F.lit(w) for w in STOP_WORDS])
     found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: ~F.array_contains(left_out, w))
+    if longest > 1:
+        held = F.greatest(F.size("_found") - 1, F.lit(0))
+        pairs = F.zip_with(F.slice("_found", 1, held), F.slice("_found", 2, held), lambda a, b: F.concat_ws(" ", a, b))
+        both = F.when(F.size("_found") > 1, F.concat("_found", pairs)).otherwise(F.col("_found"))
+        return documents.select(key, found.alias("_found")).select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
     return documents.select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
+def matrix_stats(weights: DataFrame, key: str) -> DataFrame:
+    """Shape, entries and density of a sparse matrix (key, term, weight)."""
+    shape = weights.agg(F.countDistinct(key).alias("n_rows"), F.countDistinct("term").alias("n_columns"), F.count("*").alias("nnz"))
+    return shape.withColumn("density", F.try_divide(F.col("nnz").cast("double"), (F.col("n_rows") * F.col("n_columns")).cast("double")))
+
+
 def char_counts(documents: DataFrame, key: str, text: str, longest: int = 1) -> DataFrame:
     """Counts of characters (and runs of up to ``longest``), case kept, two or more white spaces as one space."""
     chars = F.filter(F.split(F.regexp_replace(text, r"\s\s+", " "), ""), lambda c: c != "")

@@ -26,6 +26,11 @@ def run_metrics(turns: DataFrame, gzip: bool = False) -> DataFrame:
     return out
 
 
+def mean_elapsed(turns: DataFrame) -> DataFrame:
+    """Per run: the mean of ``elapsed_ms``; turns without one don't count, and a run of none has 0."""
+    return turns.groupBy("run_id").agg(F.coalesce(F.avg("elapsed_ms"), F.lit(0.0)).alias("mean_elapsed"))
+
+
 def run_documents(turns: DataFrame) -> DataFrame:
     """Each run's contents joined by newlines in turn order."""
     rows = F.array_sort(F.collect_list(F.struct("turn_index", "content")))
@@ -41,6 +46,7 @@ def cell_stats(runs: DataFrame, metrics: DataFrame) -> DataFrame:
         F.count("*").alias("n_runs"), count_if(F.col("stop_reason") == "completed").alias("n_completed"),
         count_if(F.col("stop_reason") == "degenerate_repetition").alias("n_degenerate"), count_if(~ended).alias("n_aborted"),
         over("completed_turns", F.median).alias("median_turns"), over("unique_ratio", F.avg).alias("mean_unique"), over("mean_chars", F.avg).alias("mean_chars"),
+        *([over("gzip_ratio", F.avg).alias("mean_gzip")] if "gzip_ratio" in metrics.columns else []),
     )
 
 

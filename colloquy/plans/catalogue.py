@@ -498,18 +498,20 @@ def knn_other_runs(s, d):
 
 def _streamed(s: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Runs a stream over the events to its end, into a table in the cluster's shared folder."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-")
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.mkdtemp(prefix="colloquy-")
     name = s.sql("select uuid()").first()[0]
-    source = fx.table(s, d, "events")
+    source, out = fx.table(s, d, "events"), f"{shared}/streamed-{name}"
     # a file source reads folders or patterns; this pattern takes the one table
-    stream = s.readStream.schema(source.schema).parquet(f"{d}/events*.parquet")
-    out = build(stream).writeStream.format("parquet" if mode == "append" else "memory").option("checkpointLocation", f"{shared}/stream-{name}").outputMode(mode).trigger(availableNow=True)
+    stream = build(s.readStream.schema(source.schema).parquet(f"{d}/events*.parquet"))
+    writer = stream.writeStream.option("checkpointLocation", f"{shared}/stream-{name}").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        out.start(f"{shared}/streamed-{name}").awaitTermination()
-        return s.read.parquet(f"{shared}/streamed-{name}")
-    table = f"streamed_{name.replace('-', '_')}"
-    out.queryName(table).start().awaitTermination()
-    return s.table(table)
+        writer.format("parquet").start(out).awaitTermination()
+    else:  # each batch brings the whole result
+        writer.foreachBatch(lambda whole, _: whole.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(out)
 
 
 @query(ORACLE["degenerate_flags"])
