@@ -464,7 +464,7 @@ def chunk_of(texts, train, common_words, ends=True):
     import pyarrow as pa
 
     rows = [{"row": i, "train": t, "ends": ends, "text": x} for i, (x, t) in enumerate(zip(texts, train))]
-    return contextmix.Chunk(pa.array(rows, contextmix._PIECES.value_type), np.sort(contextmix._hashes([w.encode() for w in common_words])), 40)
+    return contextmix.Chunk(pa.array(rows), np.sort(contextmix._hashes([w.encode() for w in common_words])), 40)
 
 
 def totals_of(chunk, learnt):
