@@ -15,6 +15,7 @@ buckets matter for repeats.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -31,8 +32,10 @@ from colloquy.llm.common import drop_table, free_shuffles, from_planes, in_order
 LENGTH, PASSAGE = 400, 51
 #: Windows in a piece after each cut; the first pieces have as many as their anchor.
 CUTS = (16, 1)
-#: Units of one text, and bytes of small texts together, that are worked on at once.
+#: Units of one text that are worked on at once, and bytes of a chunk.
 SLICE = 1 << 20
+#: Bytes of small texts that are looked at together: few enough for a core's cache.
+TOGETHER = 1 << 17
 PIECE = "row long, start long, windows int, at int, needed boolean, off long, size int, bucket long, k1 long, k2 long"
 ANCHOR = "row long, pos long, next long, start long, windows int, off long, size int, bucket long, k1 long, k2 long"
 _SPACE = np.zeros(256, bool)
@@ -43,6 +46,12 @@ _INVERSE = np.uint64(pow(int(_LEFT), -1, 1 << 64))
 _AT = np.uint64((1 << 24) - 1)
 
 
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a place, and of its inverse."""
+    return np.cumprod(np.full(n, _LEFT)), np.cumprod(np.full(n, _INVERSE))
+
+
 class Bytes:
     """Units are bytes: identifiers, where each begins, and where it ends, in a text's bytes."""
 
@@ -59,10 +68,9 @@ class Words:
     def read(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[data], True]))
         begin, end = edges[::2], edges[1::2]
-        powers = np.cumprod(np.full(len(data), _LEFT))
-        sums = np.r_[np.uint64(0), np.cumsum(_BYTE_IDS[data] * powers)]
-        back = np.cumprod(np.full(len(data) + 1, _INVERSE))[begin]
-        ids = (sums[end] - sums[begin]) * back
+        powers, back = _powers(max(1 << 18, 1 << len(data).bit_length()))
+        sums = np.r_[np.uint64(0), np.cumsum(_BYTE_IDS[data] * powers[: len(data)])]
+        ids = (sums[end] - sums[begin]) * back[begin]
         return ids ^ (ids >> _HIGH), begin, end
 
 
@@ -149,19 +157,21 @@ def _slices(rows: list[int], texts: list[bytes], kind: Kind) -> Iterator[list[tu
         elif len(body) >= length:
             held.append((row, 0, 0, body, 0))
             size += len(body)
-            if size >= SLICE:
+            if size >= TOGETHER:
                 yield held
                 held, size = [], 0
     if held:
         yield held
 
 
-def _strings(rows: list[int], texts: list[bytes], kind: Kind) -> np.ndarray:
-    """Identifiers of the strings at all anchors of a chunk; an anchor belongs to the slice where its windows begin."""
-    return np.concatenate([np.empty(0, np.int64), *(_anchored(held, kind)[1][4] for held in _slices(rows, texts, kind))]).view(np.uint64)
+def _distinct(strings: list[np.ndarray]) -> np.ndarray:
+    """The strings of a chunk in order. One that comes twice or more is there twice, which is enough to find it shared."""
+    _, ordered = in_order(np.concatenate([np.empty(0, np.int64), *strings]).view(np.uint64))
+    return ordered[np.r_[True, True, ordered[2:] != ordered[:-2]][: len(ordered)]]
 
 
 def _anchored(held: list[tuple[int, int, int, bytes, int]], kind: Kind) -> tuple:
+    """Units and anchors of texts; an anchor belongs to the slice where its windows begin."""
     unit, length, gram = kind
     data = np.frombuffer((b" " if unit is Words else b"").join(x[3] for x in held), np.uint8)
     ids, begin, end = unit.read(data)
@@ -175,10 +185,10 @@ def _anchored(held: list[tuple[int, int, int, bytes, int]], kind: Kind) -> tuple
     return (data, ids, begin, end, byte_ends), tuple(x[inside] for x in found), of[inside], first[inside]
 
 
-def _pieces(held: list[tuple[int, int, int, bytes, int]], kind: Kind, number: int, live: np.ndarray) -> pa.RecordBatch:
+def _pieces(held: list[tuple[int, int, int, bytes, int]], kind: Kind, number: int, live: np.ndarray, anchored: tuple) -> pa.RecordBatch:
     """Anchors whose strings are in ``live``, each with the piece of windows that have it."""
     unit, length, _ = kind
-    (data, ids, begin, end, byte_ends), found, of, first = _anchored(held, kind)
+    (data, ids, begin, end, byte_ends), found, of, first = anchored
     strings = found[4].view(np.uint64)
     kept = live[np.minimum(np.searchsorted(live, strings), len(live) - 1)] == strings if len(live) else np.zeros(len(strings), bool)
     (place, after, start, windows, bucket), of, first = (x[kept] for x in found), of[kept], first[kept]
@@ -219,9 +229,7 @@ def first_anchors(texts: DataFrame, kinds: list[Kind]) -> DataFrame:
             for number, rows, bodies in zip(*(batch.column(c) for c in ("chunk", "rows", "texts"))):
                 out: list[list] = [[], [], [], []]
                 for k, kind in enumerate(kinds):
-                    _, strings = in_order(_strings(rows.as_py(), bodies.as_py(), kind))
-                    # a string that comes twice here is asked for twice, which is enough to find it shared
-                    strings = strings[np.r_[True, True, strings[2:] != strings[:-2]][: len(strings)]]
+                    strings = _distinct([_anchored(held, kind)[1][4] for held in _slices(rows.as_py(), bodies.as_py(), kind)])
                     edges = range_edges(strings, 64, parts)
                     for part in np.flatnonzero(np.diff(edges)).tolist():
                         own = strings[edges[part] : edges[part + 1]]
@@ -234,12 +242,13 @@ def first_anchors(texts: DataFrame, kinds: list[Kind]) -> DataFrame:
             for rows, bodies, told in zip(*(batch.column(c) for c in ("rows", "texts", "told"))):
                 rows, bodies, told = rows.as_py(), bodies.as_py(), sorted(told.as_py() or [], key=lambda x: x["part"])
                 for k, kind in enumerate(kinds):
-                    _, strings = in_order(_strings(rows, bodies, kind))
-                    strings = strings[np.r_[True, True, strings[2:] != strings[:-2]][: len(strings)]]
+                    # kept for the usual chunk, worked out once more for the slices of a very long text
+                    kept = [(held, _anchored(held, kind)) for held in _slices(rows, bodies, kind)] if sum(map(len, bodies)) <= 4 * SLICE else None
+                    strings = _distinct([a[1][4] for _, a in kept] if kept is not None else [_anchored(held, kind)[1][4] for held in _slices(rows, bodies, kind)])
                     shared = np.concatenate([np.empty(0, np.uint64), *(from_planes(x["shared"]) for x in told if x["kind"] == k)])
                     live = np.unique(strings[shared > 0])
-                    for held in _slices(rows, bodies, kind):
-                        yield _pieces(held, kind, k, live)
+                    for held, anchored in kept if kept is not None else ((held, _anchored(held, kind)) for held in _slices(rows, bodies, kind)):
+                        yield _pieces(held, kind, k, live, anchored)
 
     told = write_table(chunks.select("chunk", "rows", "texts").mapInArrow(ask, ASKED).groupBy("part", "kind").applyInPandas(_tell, TOLD), "suffix-told")
     answers = told.groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "shared")).alias("told"))
