@@ -11,7 +11,12 @@ from colloquy.operators import groups, lexical, probes, profiles, runs, sampling
 from colloquy.plans import fixtures as fx
 from colloquy.plans.catalogue import CENTRES, DIMS, ENRICH, INFORMATION, RUNS, SCORED, STOPS, TERMS, TFIDF, TURNS, VECTORS, query
 
-JB = F.col("variant") == "jailbroken"
+
+def jb():
+    """Whether a row is of the jailbroken variant."""
+    return F.col("variant") == "jailbroken"
+
+
 STARTS = "SELECT k, start, (cluster * (start + 1) + start) % k AS cluster, vec_id, variant, seed FROM vectors, (VALUES (2), (5), (40)) a(k), range(3) b(start)"
 
 
@@ -55,7 +60,7 @@ def _winners(s, d):
     rows, parts = _labelings(s, d), []
     for k in (2, 5, 40):
         for start in range(3):
-            found = groups.enrichment_p(groups.enrichment(rows.where((F.col("k") == k) & (F.col("start") == start)), "cluster", JB, 30))
+            found = groups.enrichment_p(groups.enrichment(rows.where((F.col("k") == k) & (F.col("start") == start)), "cluster", jb(), 30))
             parts.append(found.withColumn("kk", F.lit(k).cast("long")).withColumn("start", F.lit(start).cast("long")).withColumn("space", F.concat_ws(":", F.lit(k), F.lit(start))))
     every = parts[0]
     for p in parts[1:]:
@@ -75,7 +80,7 @@ def enrichment_stability(s, d):
 
 @query(f"{ENRICH} SELECT cluster, round(k / n, 6) AS frac, round(k / n / (m / t), 6) AS enrichment FROM m, t WHERE n >= 30 ORDER BY round(k / n, 9) DESC, round(k / n / (m / t), 9) DESC, cluster LIMIT 20")
 def top_clusters(s, d):
-    found = groups.enrichment(fx.vectors(s, d), "cluster", JB, 30)
+    found = groups.enrichment(fx.vectors(s, d), "cluster", jb(), 30)
     return found.orderBy(F.desc(F.round("frac", 9)), F.desc(F.round("enrichment", 9)), "cluster").limit(20).select("cluster", "frac", "enrichment")
 
 
@@ -83,7 +88,7 @@ def top_clusters(s, d):
 c AS (SELECT cluster, count(*) AS n, count(*) FILTER (variant = 'jailbroken') AS n_target, avg(turn_index) AS a, median(turn_index) AS b FROM vectors GROUP BY cluster)
 SELECT cluster, n, n_target, round(n_target / n, 6) AS share, round(n_target / n / (SELECT avg((variant = 'jailbroken')::INT) FROM vectors), 6) AS enrichment, round(a, 6) AS order_mean, round(b, 6) AS order_median, top_label FROM c JOIN t USING (cluster)""")
 def cluster_table(s, d):
-    return profiles.cluster_table(fx.vectors(s, d), "cluster", JB, "turn_index", "seed")
+    return profiles.cluster_table(fx.vectors(s, d), "cluster", jb(), "turn_index", "seed")
 
 
 PCT = ", ".join(f"round(quantile_cont(turn_index, {p / 100}), 6) AS p{p}" for p in (5, 25, 50, 75, 95))
@@ -93,7 +98,7 @@ PCT = ", ".join(f"round(quantile_cont(turn_index, {p / 100}), 6) AS p{p}" for p
 SELECT cluster, count(*) AS n, count(DISTINCT run_id) AS n_runs, round(avg((variant = 'jailbroken')::INT), 6) AS target_share, round(avg((variant = 'jailbroken')::INT) - any_value(a), 6) AS target_delta,
  round(avg((turn_index % 2 = 0)::INT), 6) AS agent_share, round(avg((turn_index % 2 = 0)::INT) - any_value(b), 6) AS agent_delta, {PCT} FROM vectors, g GROUP BY cluster""")
 def cluster_portrait(s, d):
-    return profiles.cluster_portrait(fx.vectors(s, d), "cluster", "run_id", "turn_index", JB, F.col("turn_index") % 2 == 0)
+    return profiles.cluster_portrait(fx.vectors(s, d), "cluster", "run_id", "turn_index", jb(), F.col("turn_index") % 2 == 0)
 
 
 @query(f"WITH {VECTORS} SELECT cluster, turn_index // 5 AS step, count(*) AS n FROM vectors GROUP BY ALL")
@@ -134,7 +139,7 @@ def benign_clusters(s, d):
     rows = fx.vectors(s, d)
     kinds = s.createDataFrame([(x,) for x in ("seed1", "seed2", "seed3")], "seed string").withColumn("benign", F.lit(1))
     benign = rows.join(F.broadcast(kinds), "seed", "left").groupBy("cluster").agg(F.avg(F.coalesce("benign", F.lit(0))).alias("benign_share"))
-    found = groups.enrichment(rows, "cluster", JB, 30).join(benign, "cluster").where("enrichment >= 1.0 and benign_share >= 0.3")
+    found = groups.enrichment(rows, "cluster", jb(), 30).join(benign, "cluster").where("enrichment >= 1.0 and benign_share >= 0.3")
     return found.agg(F.count("*").alias("n_clusters"))
 
 
@@ -309,7 +314,7 @@ def pc_rank_tests(s, d):
     rows = fx.vectors(s, d).select("vec_id", "seed", "variant").join(placed, "vec_id")
     axes = [c for c in placed.columns if c != "vec_id"][:2]
     long = rows.select("seed", "variant", F.explode(F.array(*[F.struct(F.lit(c).alias("pc"), F.col(c).cast("double").alias("value")) for c in axes])).alias("p")).select("seed", "variant", "p.*")
-    tested = scores.rank_test(long.unionByName(long.withColumn("seed", F.lit("pooled"))), ["seed", "pc"], "value", JB)
+    tested = scores.rank_test(long.unionByName(long.withColumn("seed", F.lit("pooled"))), ["seed", "pc"], "value", jb())
     enough = (F.col("n_pos") >= 2) & (F.col("n_neg") >= 2)
     p = F.when(enough, F.col("p"))
     return tested.select("seed", "pc", "n_pos", "n_neg", p.alias("p"), numeric.stars(p, 2 * 7).alias("stars"), F.coalesce(p * 14 < 0.05, F.lit(False)).alias("significant"))
@@ -319,7 +324,7 @@ def pc_rank_tests(s, d):
 def probe_targets(s, d):
     """Out-of-fold scores of several targets: the agent, the first turn against the others, the variant."""
     rows, parts = fx.vectors(s, d), []
-    for name, target in (("agent", F.col("turn_index") % 2 == 0), ("first_turn", F.col("turn_index") == 0), ("variant", JB)):
+    for name, target in (("agent", F.col("turn_index") % 2 == 0), ("first_turn", F.col("turn_index") == 0), ("variant", jb())):
         folds = sampling.group_folds(rows.withColumn("y", target.cast("double")), "run_id", 3)
         found = probes.fold_scores(probes.out_of_fold(folds.select("vec_id", "fold", "y", "vector"), "vector", "y"), "y")
         parts.append(found.withColumn("target", F.lit(name)))
