@@ -118,12 +118,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         least = write_table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
         large = write_table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         down = write_table(large.groupBy("u").agg(F.min("v").alias("m")), name)
-        star = write_table(
+        before, star = star, write_table(
             large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(down.select("u", F.col("m").alias("v")))
             .distinct(),
             name,
         )
+        for done in (before, least, large, down):
+            drop_table(done)
 
 
 def base32_of_sha1(payload: Column) -> Column:
