@@ -151,6 +151,36 @@ def test_near_copies_of_the_pipeline_are_brute_force(spark):
     assert similar.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_large_group_of_near_copies_is_linked_by_its_least_edited_text(spark):
+    """Copies with few edits are one group, those with many stand alone, and few pairs of either are verified."""
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), 1 + i % 2 if i % 4 else 20):
+            words[at] = f"edit{i}x{at}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_row long, text string")
+    sets = [set(similar.shingle_set(t, 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(400) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(links) > 10_000
+    made, write = {}, similar.write_table
+
+    def counted(df, name):
+        table = write(df, name)
+        made[name] = made.get(name, 0) + table.count()
+        return table
+
+    similar.write_table = counted
+    try:
+        found = {r._row: r.component for r in similar.similar_rows(rows, "text").collect()}
+    finally:
+        similar.write_table = write
+    assert [found[i] for i in range(400)] == smallest_reachable(400, links)
+    assert made["similar-likely"] < 3_000
+
+
 def counts(text):
     found = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
