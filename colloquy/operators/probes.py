@@ -28,6 +28,14 @@ def fit_predict(train: DataFrame, test: DataFrame, vector: str, label: str, l2:
     return model.transform(test).withColumn("probability", vector_to_array("_p")[1]).drop("_v", "_s", "_p", "_raw")
 
 
+def softmax_predict(train: DataFrame, test: DataFrame, vector: str, label: str, l2: float = 1e-3) -> DataFrame:
+    """Adds ``probabilities`` (one a class) and ``predicted`` for classes 0, 1, ...: mean log loss plus half of ``l2`` times
+    the squared weights, without the intercepts."""
+    train, test = _vectors(train, vector), _vectors(test, vector)
+    model = LogisticRegression(featuresCol="_v", labelCol=label, regParam=l2, standardization=False, maxIter=200, family="multinomial", probabilityCol="_p", predictionCol="predicted", rawPredictionCol="_raw").fit(train)
+    return model.transform(test).withColumn("probabilities", vector_to_array("_p")).drop("_v", "_p", "_raw")
+
+
 def out_of_fold(rows: DataFrame, vector: str, label: str, fold: str = "fold", n: int = 5, l2: float | None = 1e-3, scale: bool = False) -> DataFrame:
     """Predictions for each row by the model that did not see its fold."""
     held = rows.persist()

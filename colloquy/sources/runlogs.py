@@ -85,3 +85,28 @@ def append_scores(records: DataFrame, folder: str) -> None:
 def write_vectors(rows: DataFrame, path: str) -> None:
     """Vector tables by variant and seed, so that filters on either prune folders."""
     rows.write.mode("overwrite").partitionBy("variant", "seed").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, seeds: list[str] | None = None) -> DataFrame:
+    """Vector tables with plain types: ids and labels as text, turn numbers as long, vectors of double.
+
+    ``seeds`` keeps those seeds, by their folders alone; seeds that the table doesn't hold are an error that lists what it holds.
+    """
+    rows = spark.read.parquet(path)
+    to = {"run_id": "string", "variant": "string", "seed": "string", "stop_reason": "string", "agent": "string", "turn_index": "long", "completed_turns": "long", "vector": "array<double>"}
+    lacking = {"run_id", "variant", "seed", "vector"} - set(rows.columns)
+    if lacking:
+        raise ValueError(f"{path} has no columns {sorted(lacking)}")
+    rows = rows.select(*[F.col(c).cast(to[c]).alias(c) if c in to else F.col(f"`{c}`") for c in rows.columns])
+    if seeds is None:
+        return rows
+    present = {r.seed for r in rows.select("seed").distinct().collect()}
+    if set(seeds) - present:
+        raise ValueError(f"{path} has no seeds {sorted(set(seeds) - present)}, only {sorted(x for x in present if x is not None)}")
+    return rows.where(F.col("seed").isin(seeds))
+
+
+def write_report(rows: DataFrame, path: str, order: list[str], places: dict[str, int] | None = None) -> None:
+    """A folder of CSV files with headers, in ``order`` from file to file; ``places`` gives the decimals of a column; nulls are empty."""
+    shown = [F.when(F.col(c).isNotNull(), F.format_string(f"%.{places[c]}f", F.col(c).cast("double"))).alias(c) if c in (places or {}) else F.col(c) for c in rows.columns]
+    rows.orderBy(*order).select(*shown).write.mode("overwrite").option("header", True).csv(path)
