@@ -329,3 +329,13 @@ def probe_targets(s, d):
         found = probes.fold_scores(probes.out_of_fold(folds.select("vec_id", "fold", "y", "vector"), "vector", "y"), "y")
         parts.append(found.withColumn("target", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query()
+def probe_turn_thirds(s, d):
+    """Recall of each third of a run's ten turns, by softmax probes that did not see the run's fold."""
+    rows = fx.vectors(s, d).withColumn("third", F.floor(F.col("turn_index") * 3 / 10).cast("double"))
+    folds = sampling.group_folds(rows, "run_id", 3).select("vec_id", "fold", "third", "vector")
+    parts = [probes.softmax_predict(folds.where(F.col("fold") != i), folds.where(F.col("fold") == i), "vector", "third") for i in range(3)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return scores.recalls(every.select("third", "predicted"), "third", "predicted")
