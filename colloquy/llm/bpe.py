@@ -7,17 +7,17 @@ every word's lowest-ranked pair by binary search over the sorted pair keys and m
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from colloquy.llm.common import encoded
 
 #: White space as the file's normalizer means it: Unicode White_Space, without the separators 1C to 1F.
 WHITE = re.compile("[" + "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
@@ -27,6 +27,8 @@ LATIN = re.compile("[\x00-\x7fß-öø-ÿ]*")
 LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+")
 #: Words kept with their ids in a Python worker; beyond that the memory starts afresh.
 MOST_WORDS = 300_000
+#: Words of more characters are merged apart, since a round over all symbols for each of their merges grows with the square.
+LONG_WORD = 2_000
 
 
 def byte_symbols() -> list[str]:
@@ -59,8 +61,63 @@ class WordBpe:
         self.keys, self.ranks, self.to = keys[order], order, to[order]
         self.known: dict[str, list[int]] = {}
 
+    def merge_long(self, word: str) -> list[int]:
+        """Ids of one long word. A round looks only at the places of its pair, kept by rank, and at their new neighbours."""
+        flat = np.frombuffer(word.encode("utf-8"), np.uint8)
+        symbols = self.inner[flat]
+        symbols[-1] = self.last[flat[-1]]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Files the pairs that begin at ``at`` under their ranks."""
+            at = at[after[at] < n]
+            keys = symbols[at] * self.size + symbols[after[at]]
+            spot = np.searchsorted(self.keys, keys)
+            spot[spot == len(self.keys)] = 0
+            found = self.keys[spot] == keys
+            at, spot = at[found], spot[found]
+            order = np.argsort(spot, kind="stable")
+            at, spot = at[order], spot[order]
+            begins = np.flatnonzero(np.r_[True, spot[1:] != spot[:-1]]) if len(at) else []
+            for k, part in zip(spot[begins].tolist(), np.split(at, begins[1:])):
+                if k in places:
+                    places[k].append(part)
+                else:
+                    places[k] = [part]
+                    heapq.heappush(heap, (int(self.ranks[k]), k))
+
+        note(np.arange(n - 1))
+        while heap:
+            _, k = heapq.heappop(heap)
+            run = np.unique(np.concatenate(places.pop(k)))
+            run = run[(symbols[run] >= 0) & (after[run] < n)]
+            run = run[symbols[run] * self.size + symbols[after[run]] == self.keys[k]]
+            if not len(run):
+                continue
+            # of pairs that overlap (a run of one symbol), every second from the left
+            first = np.r_[True, after[run[:-1]] != run[1:]]
+            offset = np.arange(len(run)) - np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
+            run = run[offset % 2 == 0]
+            gone = after[run]
+            symbols[run] = self.to[k]
+            symbols[gone] = -1
+            after[run] = after[gone]
+            inside = after[run] < n
+            before[after[run[inside]]] = run[inside]
+            left = before[run]
+            note(np.unique(np.r_[run, left[left >= 0]]))
+        return symbols[symbols >= 0].tolist()
+
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, all words merged round by round in one flat array."""
+        """Ids of each word. Long words are merged one by one, all others round by round in one flat array."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if long:
+            apart = set(long)
+            others = iter(self.merge([w for i, w in enumerate(words) if i not in apart]) if len(long) < len(words) else [])
+            return [self.merge_long(w) if i in apart else next(others) for i, w in enumerate(words)]
         raw = [w.encode("utf-8") for w in words]
         lengths = np.array([len(x) for x in raw])
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -116,10 +173,14 @@ class WordBpe:
         new = list({w for parts in cut for words in parts[::2] for w in words if w not in known})
         known.update(zip(new, self.merge(new)) if new else ())
         flat = chain.from_iterable
-        return [
+        found = [
             list(flat(flat([self.special[x] for x in words] for _ in "1") if i % 2 else flat(map(known.__getitem__, words)) for i, words in enumerate(parts)))
             for parts in cut
         ]
+        for word in new:
+            if len(word) > LONG_WORD:  # such words hardly come again
+                del known[word]
+        return found
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Tokens joined by spaces, as the library does for files without a decoder."""
@@ -135,32 +196,13 @@ def load(path: str) -> WordBpe:
 def encode_texts(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str | None = None, most_chars: int = 2_000_000) -> DataFrame:
     """Adds ``ids`` (array of int) and, if ``decoded`` names a column, the text that they decode to.
 
-    Whole texts, null as empty (no ids, empty decoded text); rows keep their order and other columns. An existing
-    column of a result's name is replaced. No shuffle: rows stay in their partitions.
+    Whole texts, null as empty (no ids, empty decoded text); rows keep their order and other columns. An existing column
+    of a result's name, whatever its case, is replaced. No shuffle: rows stay in their partitions.
     """
-    added = {ids: pa.list_(pa.int32())} | ({decoded: pa.string()} if decoded else {})
-    kept = [f for f in docs.schema.fields if f.name not in added]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
-    names = [f.name for f in kept]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: list[str]) -> tuple[list[list[int]], list[str] | None]:
         bpe = load(path)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(column).to_pylist()]
-            start = 0
-            while start < len(texts):
-                end, held = start, 0
-                while end < len(texts) and (end == start or held + len(texts[end]) <= most_chars):
-                    held += len(texts[end])
-                    end += 1
-                found = bpe.encode(texts[start:end])
-                offsets = np.cumsum([0, *map(len, found)])
-                values = pa.array(np.fromiter(chain.from_iterable(found), np.int32, offsets[-1]))
-                columns = [batch.column(x).slice(start, end - start) for x in names]
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
-                if decoded:
-                    columns.append(pa.array([bpe.decode(x) for x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
-                start = end
-
-    return docs.mapInArrow(run, schema)
+        found = bpe.encode(texts)
+        return found, [bpe.decode(x) for x in found] if decoded else None
+
+    return encoded(docs, run, column, ids, decoded, most_chars)

@@ -7,12 +7,15 @@ import re
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words: space and the five ASCII controls from tab to carriage return.
 SPACES = "\t\n\v\f\r"
@@ -87,6 +90,41 @@ def pieces(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000_
             yield frame.iloc[start:]
 
 
+def encoded(docs: DataFrame, run: Callable, column: str, ids: str, decoded: str | None, most_chars: int) -> DataFrame:
+    """Adds what ``run`` finds for texts, at most about ``most_chars`` characters at a time: ids of each text, and the texts
+    that those decode to (None if ``decoded`` names no column). A null text is empty; columns of the results' names go."""
+    added = {ids: pa.list_(pa.int32())} | ({decoded: pa.string()} if decoded else {})
+    taken = {name.lower() for name in added}
+    at = next(i for i, f in enumerate(docs.schema.fields) if f.name == column)
+    kept = [(i, f) for i, f in enumerate(docs.schema.fields) if f.name.lower() not in taken]
+    schema = T.StructType([*[f for _, f in kept], T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
+    names = [f.name for _, f in kept]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            start = 0
+            while start < len(texts):
+                end, held = start, 0
+                while end < len(texts) and (end == start or held + len(texts[end]) <= most_chars):
+                    held += len(texts[end])
+                    end += 1
+                found, back = run(texts[start:end])
+                offsets = np.cumsum([0, *map(len, found)])
+                if isinstance(found[0], np.ndarray):
+                    values = pa.array(np.concatenate(found).astype(np.int32))
+                else:
+                    values = pa.array(np.fromiter(chain.from_iterable(found), np.int32, offsets[-1]))
+                columns = [batch.column(i).slice(start, end - start) for i, _ in kept]
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+                if decoded:
+                    columns.append(pa.array(back, pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
+                start = end
+
+    return docs.mapInArrow(each, schema)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from colloquy.llm import bpe, chat, contextmix, mixing, pii, quality, simhash, suffixes, vectors, warc
+from colloquy.llm import bpe, chat, codes, contextmix, mixing, pii, piece, quality, ranked, simhash, suffixes, vectors, warc
 from colloquy.llm.common import read_table
 
 
@@ -90,9 +90,65 @@ def op9_bucket_pointer(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_embedding_pca, op3_simhash_multi_index, op4_quality_rules, op5_pii_spans, op6_pfair_mix, op7_bpe_round_trip, op8_context_mixing, op9_bucket_pointer, op10_chat_trees)}
+def op11_wavelet_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return ranked.rank_documents(docs, read_table(spark, folder, "benchmark").select("item_id", "text"), k=20)
+
+
+def op12_segment_means(spark: SparkSession, folder: str) -> DataFrame:
+    """All usable embeddings as four indexes each, with the error of each and of its label."""
+    rows = read_table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    books = codes.fit_codebooks(rows, "vec_id", "embedding")
+    coded = codes.encode_vectors(rows, books, "embedding").drop("embedding")
+    of_label = coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    hexed = F.array_join(F.transform("code", lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))), "")
+    joined = coded.join(of_label, F.col("label").eqNullSafe(F.col("_label")))
+    return joined.select("vec_id", hexed.alias("code"), "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def op13_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, encoded and decoded by the model of pieces."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    coded = piece.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded").drop("text")
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_embedding_pca, op3_simhash_multi_index, op4_quality_rules, op5_pii_spans, op6_pfair_mix, op7_bpe_round_trip, op8_context_mixing, op9_bucket_pointer, op10_chat_trees, op11_wavelet_ranking, op12_segment_means, op13_piece_round_trip)}
+
+
+def _codes_sql(parts: int = 4, size: int = 256, rounds: int = 4) -> str:
+    """The codes of vectors of 64 components, a table of assignments and one of entries a round."""
+    width, steps = 64 // parts, []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT x.vec_id, x.label, x.part, x.v, arg_min(c.entry, (d.d, c.entry)) AS entry, min(d.d) AS d
+  FROM x JOIN c{r} c USING (part), LATERAL (SELECT list_sum(list_transform(list_zip(x.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d) d GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""n{r} AS (SELECT part, entry, list(m ORDER BY i) AS v FROM (SELECT part, entry, i, floor(sum(y) / count(*))::BIGINT AS m
+  FROM (SELECT part, entry, unnest(v) AS y, unnest(range({width})) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{r}.v, c.v) AS v FROM c{r} c LEFT JOIN n{r} USING (part, entry))""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS vec_row, vec_id, label, list_transform(embedding, e -> floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, e -> coalesce(isfinite(e), false)))),
+x AS MATERIALIZED (SELECT vec_id, label, p.part, v[p.part * {width} + 1 : p.part * {width} + {width}] AS v FROM k, range({parts}) p(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM x QUALIFY entry < {size}),
+{", ".join(steps)},
+s AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+f AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f, s"""
+
 
 ORACLE = {
+    "op11_wavelet_ranking": r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), c AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(qf * floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (doc_id), c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""",
+    "op12_segment_means": _codes_sql(),
     "op1_warc_revisits": r"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) || '0' AS h FROM pages
