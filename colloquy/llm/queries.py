@@ -123,14 +123,14 @@ def _codes_sql(parts: int = 4, size: int = 256, rounds: int = 4) -> str:
     width, steps = 64 // parts, []
     for r in range(rounds + 1):
         steps.append(f"""a{r} AS MATERIALIZED (SELECT x.vec_id, x.label, x.part, x.v, arg_min(c.entry, (d.d, c.entry)) AS entry, min(d.d) AS d
-  FROM x JOIN c{r} c USING (part), LATERAL (SELECT list_sum(list_transform(list_zip(x.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d) d GROUP BY ALL)""")
+  FROM x JOIN c{r} c USING (part), LATERAL (SELECT list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d) d GROUP BY ALL)""")
         if r < rounds:
             steps.append(f"""n{r} AS (SELECT part, entry, list(m ORDER BY i) AS v FROM (SELECT part, entry, i, floor(sum(y) / count(*))::BIGINT AS m
   FROM (SELECT part, entry, unnest(v) AS y, unnest(range({width})) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL),
 c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{r}.v, c.v) AS v FROM c{r} c LEFT JOIN n{r} USING (part, entry))""")
     return f"""
-WITH k AS MATERIALIZED (SELECT row_number() OVER () AS vec_row, vec_id, label, list_transform(embedding, e -> floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, e -> coalesce(isfinite(e), false)))),
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS vec_row, vec_id, label, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda e: coalesce(isfinite(e), false)))),
 x AS MATERIALIZED (SELECT vec_id, label, p.part, v[p.part * {width} + 1 : p.part * {width} + {width}] AS v FROM k, range({parts}) p(part)),
 c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM x QUALIFY entry < {size}),
 {", ".join(steps)},
