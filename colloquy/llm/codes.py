@@ -1,8 +1,8 @@
 """Vectors as short codes: each part of a vector is the index of the nearest entry of that part's codebook.
 
 All arithmetic is in whole numbers. Before an entry's distance to a part is worked out it is bounded from below, first by
-the means of the two and the norms of what the means leave, then by the means of four segments and the norms of what those
-leave; entries whose bound is above the distance to a likely entry go, the others get their exact distance.
+the means of the two and the norms of what the means leave, then by the means of eight segments and the norms of what
+those leave; entries whose bound is above the distance to a likely entry go, the others get their exact distance.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 
 #: Components of this size or more are left out, for their squared distances would pass 64 bits.
 TOO_LARGE = float(1 << 18)
+#: How finely bounds cut a part, one after the other.
+SEGMENTS = (1, 8)
 #: Rows that a task looks at together.
-BLOCK = 2_048
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -50,24 +52,31 @@ def nearest_entries(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.
     distances were worked out."""
     if not x.shape[1]:
         return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), 0
-    size = (x.astype(float) ** 2).sum(1)[:, None] + (entries.astype(float) ** 2).sum(1)[None]
-    slack = 1e-6 + 1e-7 * size  # more than rounding can do to a bound
-    (mx, rx), (me, re) = _bounds(x, 1), _bounds(entries, 1)
-    coarse = (mx - me.T) ** 2 + (rx[:, None] - re[None]) ** 2
-    likely = coarse.argmin(1)
-    above = ((x - entries[likely]) ** 2).sum(1)
-    row, at = np.nonzero(coarse <= above[:, None] + slack)
-    worked = len(x)
-    if x.shape[1] >= 4:
-        (mx, rx), (me, re) = _bounds(x, 4), _bounds(entries, 4)
-        fine = ((mx[row] - me[at]) ** 2).sum(1) + (rx[row] - re[at]) ** 2
-        left = fine <= above[row] + slack[row, at]
-        row, at = row[left], at[left]
-    exact = ((x[row] - entries[at]) ** 2).sum(1)
-    begins = np.searchsorted(row, np.arange(len(x)))
-    least = np.minimum.reduceat(exact, begins)
+    n, k = len(x), len(entries)
+    slack = 1e-6 + 1e-7 * ((x.astype(float) ** 2).sum(1) + (entries.astype(float) ** 2).sum(1).max())  # more than rounding can do to a bound
+    above, worked = np.full(n, np.iinfo(np.int64).max), 0
+    pairs = np.arange(n * k)  # row times entries plus entry
+    for segments in SEGMENTS:
+        if segments > x.shape[1]:
+            break
+        (mx, rx), (me, re) = _bounds(x, segments), _bounds(entries, segments)
+        if segments == SEGMENTS[0]:
+            bound = ((mx - me.T) ** 2 + (rx[:, None] - re[None]) ** 2).reshape(-1)
+        else:
+            row, at = np.divmod(pairs, k)
+            bound = np.square(mx[row] - me[at]).sum(1) + np.square(rx[row] - re[at])
+        row = pairs // k
+        begins = np.searchsorted(row, np.arange(n))
+        lowest = np.flatnonzero(bound == np.minimum.reduceat(bound, begins)[row])
+        likely = lowest[np.searchsorted(row[lowest], np.arange(n))]  # the entry of the lowest bound tells how near the nearest is at most
+        above = np.minimum(above, np.square(x - entries[pairs[likely] % k]).sum(1))
+        worked += n
+        pairs = pairs[bound <= (above + slack)[row]]
+    row, at = np.divmod(pairs, k)
+    exact = np.square(x[row] - entries[at]).sum(1)
+    least = np.minimum.reduceat(exact, np.searchsorted(row, np.arange(n)))
     hits = np.flatnonzero(exact == least[row])
-    first = hits[np.searchsorted(row[hits], np.arange(len(x)))]
+    first = hits[np.searchsorted(row[hits], np.arange(n))]
     return at[first], least, worked + len(row)
 
 
