@@ -1,7 +1,7 @@
 """Classifiers under repeated folds: the models of all folds and repeats are fitted together, a pass over the rows a step.
 
 A row's ``folds`` holds its fold of every repeat; model ``repeat * n + fold`` learns from the rows that are not in that fold.
-What the driver holds and sends are the models: their number times their features.
+Where rows have a ``domain`` (0, 1, ...) each domain has models of its own, one domain's after the other's. What the driver holds and sends are the models: their number times their features.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators import sampling, scores
@@ -27,8 +27,14 @@ def with_folds(rows: DataFrame, label: str, key: str, n: int = 5, repeats: int =
     return rows.join(folds, group or key)
 
 
-def _trains(folds: np.ndarray, model: int, n: int) -> np.ndarray:
-    return folds[:, model // n] != model % n
+def _trains(frame: pd.DataFrame, folds: np.ndarray, model: int, n: int, repeats: int) -> np.ndarray:
+    """Which rows of a frame a model learns from; without repeats all of its domain."""
+    own = (frame["domain"] == model // max(1, n * repeats)).to_numpy()
+    return own & (folds[:, model // n % repeats] != model % n) if repeats else own
+
+
+def _domain(rows: DataFrame) -> Column:
+    return F.col("domain").cast("int").alias("domain") if "domain" in rows.columns else F.lit(0).alias("domain")
 
 
 def _summed(held: DataFrame, n_models: int, size: int, add: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
@@ -65,20 +71,19 @@ class DenseModels:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_dense(rows: DataFrame, vector: str, label: str, n: int, repeats: int, l2: float = 1.0, tolerance: float = 1e-9, most: int = 50) -> DenseModels:
+def fit_dense(rows: DataFrame, vector: str, label: str, n: int, repeats: int, l2: float = 1.0, tolerance: float = 1e-9, most: int = 50, domains: int = 1) -> DenseModels:
     """Newton's method for all models at once: the least of summed log loss plus half ``l2`` times the squared weights,
     without intercepts, of features scaled by each model's own training rows. ``repeats`` 0 is one model of all rows."""
-    n_models = max(1, n * repeats)
-    held = rows.select(F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), "folds" if repeats else F.array(F.lit(-1)).alias("folds"))
+    n_models = max(1, n * repeats) * domains
+    held = rows.select(F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), "folds" if repeats else F.array(F.lit(-1)).alias("folds"), _domain(rows))
     first = held.select(F.size("x")).first()
     dims = first[0] if first else 0
-    trains = (lambda folds, m: _trains(folds, m, n)) if repeats else (lambda folds, m: np.ones(len(folds), bool))
 
     def moments(frame: pd.DataFrame) -> np.ndarray:
         x, y, folds = _matrix(frame, "x"), frame["y"].to_numpy(), np.stack(frame["folds"].to_numpy())
         out = []
         for m in range(n_models):
-            at = trains(folds, m)
+            at = _trains(frame, folds, m, n, repeats)
             out.append(np.r_[at.sum(), y[at].sum(), x[at].sum(0), (x[at] ** 2).sum(0)])
         return np.array(out)
 
@@ -101,7 +106,7 @@ def fit_dense(rows: DataFrame, vector: str, label: str, n: int, repeats: int, l2
             x, y, folds = _matrix(frame, "x"), frame["y"].to_numpy(), np.stack(frame["folds"].to_numpy())
             out = np.zeros((n_models, (dims + 1) * (dims + 2)))
             for m in todo:
-                at = trains(folds, m)
+                at = _trains(frame, folds, m, n, repeats)
                 a = np.c_[(x[at] - mean[m]) / scale[m], np.ones(at.sum())]
                 p = 1 / (1 + np.exp(-a @ now[m]))
                 out[m] = np.r_[a.T @ (p - y[at]), (a.T @ (a * (p * (1 - p))[:, None])).reshape(-1)]
@@ -126,15 +131,14 @@ def predict_dense(rows: DataFrame, models: DenseModels, key: str, vector: str, l
         for frame in frames:
             if not len(frame):
                 continue
-            x, folds = _matrix(frame, "x"), np.stack(frame["folds"].to_numpy())
+            x, folds, domain = _matrix(frame, "x"), np.stack(frame["folds"].to_numpy()), frame["domain"].to_numpy()
             for r in range(repeats):
-                p = np.empty(len(frame))
-                for f in range(n):
-                    at = folds[:, r] == f
-                    p[at] = sent.value.probabilities(x[at], r * n + f)
+                p, own = np.empty(len(frame)), (domain * repeats + r) * n + folds[:, r]
+                for m in np.unique(own):
+                    p[own == m] = sent.value.probabilities(x[own == m], m)
                 yield pd.DataFrame({**{c: frame[c] for c in (key, *more)}, "repeat": r, "fold": folds[:, r], "y": frame["y"], "probability": p})
 
-    held = rows.select(key, *more, F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), "folds")
+    held = rows.select(key, *more, F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), "folds", *([] if "domain" in more else [_domain(rows)]))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *more))
     return held.mapInPandas(run, f"{kinds}, repeat int, fold int, y double, probability double").withColumn("probability", F.nanvl("probability", F.lit(None).cast("double")))
 
@@ -169,12 +173,12 @@ def fold_frequencies(counts: DataFrame, folds: DataFrame, key: str, n: int, repe
     ``counts`` has (key, term, n), ``folds`` (key, folds). Documents are counted once, per repeat and fold, and the held
     fold's count is taken from the total.
     """
-    long = counts.select(key, "term").join(folds, key).select("term", F.posexplode("folds").alias("repeat", "fold"))
-    held = long.groupBy("term", "repeat", "fold").agg(F.count("*").alias("n"))
-    by_term = held.groupBy("term", "repeat").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("held"))
-    each = by_term.select("term", "repeat", "total", "held", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("fold"))
+    long = counts.select(key, "term").join(folds.select(key, "folds", _domain(folds)), key).select("term", "domain", F.posexplode("folds").alias("repeat", "fold"))
+    held = long.groupBy("term", "domain", "repeat", "fold").agg(F.count("*").alias("n"))
+    by_term = held.groupBy("term", "domain", "repeat").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("held"))
+    each = by_term.select("term", "domain", "repeat", "total", "held", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("fold"))
     df = F.col("total") - F.coalesce(F.try_element_at("held", F.col("fold")), F.lit(0))
-    return each.select((F.col("repeat") * n + F.col("fold")).alias("model"), "term", df.alias("df")).where("df > 0")
+    return each.select(((F.col("domain") * repeats + F.col("repeat")) * n + F.col("fold")).alias("model"), "term", df.alias("df")).where("df > 0")
 
 
 class TermModels:
@@ -230,7 +234,11 @@ def fit_terms(documents: DataFrame, idf: np.ndarray, n: int, repeats: int, l2: f
     """Fits all models of ``term_documents`` rows; the objective is that of ``fit_dense``, features are not scaled."""
     n_models, n_terms = idf.shape
     spark = documents.sparkSession
-    trains = (lambda folds, m: _trains(folds, m, n)) if repeats else (lambda folds, m: np.ones(len(folds), bool))
+    classes = np.zeros((n_models, 2))
+    for r in documents.select("domain", "y", F.posexplode("folds").alias("repeat", "fold")).groupBy("domain", "y", "repeat", "fold").count().collect():
+        for f in range(n) if repeats else [0]:
+            classes[(r.domain * max(1, repeats) + r.repeat) * (n if repeats else 1) + f, int(r.y)] += r["count"] * (f != r.fold)
+    sound = (classes > 0).all(1)  # models with rows of both classes
 
     def evaluate(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sent = spark.sparkContext.broadcast(TermModels(idf, weights))
@@ -242,9 +250,11 @@ def fit_terms(documents: DataFrame, idf: np.ndarray, n: int, repeats: int, l2: f
                     continue
                 codes, tf, begins, folds, y = _stretches(frame)
                 for m in range(n_models):
+                    at = _trains(frame, folds, m, n, repeats)
+                    if not sound[m] or not at.any():
+                        continue
                     values = sent.value.values(codes, tf, begins, m)
                     z = np.add.reduceat(values * sent.value.weights[m, codes], begins) + sent.value.weights[m, -1]
-                    at = trains(folds, m)
                     loss[m] += np.logaddexp(0, np.where(y == 1, -z, z))[at].sum()
                     off = np.where(at, 1 / (1 + np.exp(-z)) - y, 0.0)
                     slope[m, :-1] += np.bincount(codes, values * np.repeat(off, np.diff(np.r_[begins, len(codes)])), minlength=n_terms)
@@ -262,7 +272,9 @@ def fit_terms(documents: DataFrame, idf: np.ndarray, n: int, repeats: int, l2: f
         ridge = np.c_[np.full((n_models, n_terms), l2), np.zeros(n_models)]
         return value + (ridge * weights**2).sum(1) / 2, slope + ridge * weights
 
-    return TermModels(idf, minimise(evaluate, np.zeros((n_models, n_terms + 1)), tolerance))
+    weights = minimise(evaluate, np.zeros((n_models, n_terms + 1)), tolerance)
+    weights[~sound] = np.nan
+    return TermModels(idf, weights)
 
 
 def _stretches(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -272,35 +284,36 @@ def _stretches(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return np.concatenate(frame["codes"].to_list()), np.concatenate(frame["tf"].to_list()), begins, np.stack(frame["folds"].to_numpy()), frame["y"].to_numpy()
 
 
-def term_documents(counts: DataFrame, labelled: DataFrame, key: str, label: str, n: int, repeats: int, least_df: int = 2) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def term_documents(counts: DataFrame, labelled: DataFrame, key: str, label: str, n: int, repeats: int, least_df: int = 2, domains: int = 1) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """What term models are fitted on: a table (key, y, folds, codes, tf) with a row a document, a table (term, code), and
     idf[model, code] = ln((1 + N) / (1 + df)) + 1 of each model's training documents, 0 where df is below ``least_df``.
 
-    ``counts`` has (key, term, n), ``labelled`` (key, label, folds). The vocabulary is part of the models, hence on the driver.
+    ``counts`` has (key, term, n), ``labelled`` (key, label, folds) and a domain or none. The vocabulary is part of the models, hence on the driver.
     A document without known terms has one term of weight 0.
     """
-    folds = labelled.select(key, "folds") if repeats else labelled.select(key, F.array(F.lit(-1)).alias("folds"))
+    folds = labelled.select(key, "folds" if repeats else F.array(F.lit(-1)).alias("folds"), _domain(labelled))
     if repeats:
         df = fold_frequencies(counts, folds, key, n, repeats)
     else:
-        df = counts.join(folds, key).groupBy("term").agg(F.count("*").alias("df")).select(F.lit(0).alias("model"), "term", "df")
+        df = counts.join(folds, key).groupBy(F.col("domain").alias("model"), "term").agg(F.count("*").alias("df"))
     df = saved(df.where(F.col("df") >= least_df), "frequencies")
     codes = saved(dense_codes(df, "term"), "codes")
-    sizes = np.zeros(max(1, n * repeats))
-    for r in folds.groupBy("folds").count().collect():
-        for m in range(len(sizes)):
-            sizes[m] += r["count"] * (not repeats or r.folds[m // n] != m % n)
+    sizes = np.zeros(max(1, n * repeats) * domains)
+    dealt = folds.select("domain", F.posexplode("folds").alias("repeat", "fold")).groupBy("domain", "repeat", "fold").count()
+    for r in dealt.collect():  # a row a domain, repeat and fold
+        for f in range(n) if repeats else [0]:
+            sizes[(r.domain * max(1, repeats) + r.repeat) * (n if repeats else 1) + f] += r["count"] * (f != r.fold)
     known = df.join(codes, "term").select("model", "code", "df").toPandas()
     idf = np.zeros((len(sizes), max(1, codes.count())))
     idf[known["model"], known["code"]] = np.log((1 + sizes[known["model"]]) / (1 + known["df"])) + 1
     coded = counts.join(codes, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("code", (1 + F.log("n")).alias("tf")))).alias("t"))
     rows = labelled.select(key, F.col(label).cast("double").alias("y")).join(folds, key).join(coded, key, "left")
-    documents = rows.select(key, "y", "folds", F.coalesce("t.code", F.array(F.lit(0))).alias("codes"), F.coalesce("t.tf", F.array(F.lit(0.0))).alias("tf"))
+    documents = rows.select(key, "y", "folds", "domain", F.coalesce("t.code", F.array(F.lit(0))).alias("codes"), F.coalesce("t.tf", F.array(F.lit(0.0))).alias("tf"))
     return saved(documents, "documents"), codes, idf
 
 
 def predict_terms(documents: DataFrame, models: TermModels, key: str, n: int, repeats: int) -> DataFrame:
-    """Per document and repeat, the probability by the model that didn't see it: (key, repeat, fold, y, probability)."""
+    """Per document and repeat, the probability by the model that didn't see it: (key, domain, repeat, fold, y, probability)."""
     sent = documents.sparkSession.sparkContext.broadcast(models)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,15 +321,17 @@ def predict_terms(documents: DataFrame, models: TermModels, key: str, n: int, re
             if not len(frame):
                 continue
             codes, tf, begins, folds, y = _stretches(frame)
-            p = np.zeros((repeats, len(frame)))
-            for m in range(n * repeats):
-                z = np.add.reduceat(sent.value.values(codes, tf, begins, m) * sent.value.weights[m, codes], begins) + sent.value.weights[m, -1]
-                p[m // n] = np.where(_trains(folds, m, n), p[m // n], 1 / (1 + np.exp(-z)))
+            p, domain = np.zeros((repeats, len(frame))), frame["domain"].to_numpy()
+            for r in range(repeats):
+                own = (domain * repeats + r) * n + folds[:, r]
+                for m in np.unique(own):
+                    z = np.add.reduceat(sent.value.values(codes, tf, begins, m) * sent.value.weights[m, codes], begins) + sent.value.weights[m, -1]
+                    p[r] = np.where(own == m, 1 / (1 + np.exp(-z)), p[r])
             for r in range(repeats):
-                yield pd.DataFrame({key: frame[key], "repeat": r, "fold": folds[:, r], "y": y, "probability": p[r]})
+                yield pd.DataFrame({key: frame[key], "domain": domain, "repeat": r, "fold": folds[:, r], "y": y, "probability": p[r]})
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.mapInPandas(run, f"`{key}` {kind}, repeat int, fold int, y double, probability double")
+    return documents.mapInPandas(run, f"`{key}` {kind}, domain int, repeat int, fold int, y double, probability double").withColumn("probability", F.nanvl("probability", F.lit(None).cast("double")))
 
 
 def ranked_coefficients(coefficients: DataFrame, feature: str, value: str, k: int) -> DataFrame:
