@@ -1,7 +1,7 @@
 import pytest
 from conftest import SF, same
 
-from colloquy.plans import more  # noqa: F401 (registers queries)
+from colloquy.plans import models, more  # noqa: F401 (register queries)
 from colloquy.plans.catalogue import ORACLE, QUERIES
 
 
