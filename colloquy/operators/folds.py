@@ -230,7 +230,7 @@ def minimise(evaluate: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], st
     return x
 
 
-def fit_terms(documents: DataFrame, idf: np.ndarray, n: int, repeats: int, l2: float = 1.0, tolerance: float = 1e-5) -> TermModels:
+def fit_terms(documents: DataFrame, idf: np.ndarray, n: int, repeats: int, l2: float = 1.0, tolerance: float = 1e-4) -> TermModels:
     """Fits all models of ``term_documents`` rows; the objective is that of ``fit_dense``, features are not scaled."""
     n_models, n_terms = idf.shape
     spark = documents.sparkSession
@@ -240,11 +240,14 @@ def fit_terms(documents: DataFrame, idf: np.ndarray, n: int, repeats: int, l2: f
             classes[(r.domain * max(1, repeats) + r.repeat) * (n if repeats else 1) + f, int(r.y)] += r["count"] * (f != r.fold)
     sound = (classes > 0).all(1)  # models with rows of both classes
 
+    known = spark.sparkContext.broadcast(idf)
+
     def evaluate(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sent = spark.sparkContext.broadcast(TermModels(idf, weights))
+        sent = spark.sparkContext.broadcast(weights)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             loss, slope = np.zeros(n_models), np.zeros((n_models, n_terms + 1))
+            models = TermModels(known.value, sent.value)
             for frame in frames:
                 if not len(frame):
                     continue
@@ -253,8 +256,8 @@ def fit_terms(documents: DataFrame, idf: np.ndarray, n: int, repeats: int, l2: f
                     at = _trains(frame, folds, m, n, repeats)
                     if not sound[m] or not at.any():
                         continue
-                    values = sent.value.values(codes, tf, begins, m)
-                    z = np.add.reduceat(values * sent.value.weights[m, codes], begins) + sent.value.weights[m, -1]
+                    values = models.values(codes, tf, begins, m)
+                    z = np.add.reduceat(values * models.weights[m, codes], begins) + models.weights[m, -1]
                     loss[m] += np.logaddexp(0, np.where(y == 1, -z, z))[at].sum()
                     off = np.where(at, 1 / (1 + np.exp(-z)) - y, 0.0)
                     slope[m, :-1] += np.bincount(codes, values * np.repeat(off, np.diff(np.r_[begins, len(codes)])), minlength=n_terms)
@@ -274,6 +277,7 @@ def fit_terms(documents: DataFrame, idf: np.ndarray, n: int, repeats: int, l2: f
 
     weights = minimise(evaluate, np.zeros((n_models, n_terms + 1)), tolerance)
     weights[~sound] = np.nan
+    known.unpersist()
     return TermModels(idf, weights)
 
 

@@ -55,8 +55,9 @@ def winners(table: DataFrame, by: str, cluster: str) -> DataFrame:
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Joint counts with both margins and the total."""
     joint = rows.groupBy(a, b).agg(F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(1))
-    return joint.select(a, b, "n", F.sum("n").over(Window.partitionBy(a)).alias("n_a"), F.sum("n").over(Window.partitionBy(b)).alias("n_b"), F.sum("n").over(every).alias("total"))
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    margins = joint.select(a, b, "n", F.sum("n").over(Window.partitionBy(a)).alias("n_a"), F.sum("n").over(Window.partitionBy(b)).alias("n_b"))
+    return margins.crossJoin(F.broadcast(total))
 
 
 def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:

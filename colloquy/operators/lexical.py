@@ -56,8 +56,7 @@ def tfidf(counts: DataFrame, n_documents: int, key: str, least_df: int = 2, subl
 def word_counts(documents: DataFrame, key: str, text: str, longest: int = 1) -> DataFrame:
     """Counts of lower-cased words of two or more letters, digits or underscores, without stop words; with ``longest`` 2
     also of neighbours among those that are left, joined by a blank."""
-    left_out = F.array(*[F.lit(w) for w in STOP_WORDS])
-    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: ~F.array_contains(left_out, w))
+    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: ~w.isin(STOP_WORDS))
     if longest > 1:
         held = F.greatest(F.size("_found") - 1, F.lit(0))
         pairs = F.zip_with(F.slice("_found", 1, held), F.slice("_found", 2, held), lambda a, b: F.concat_ws(" ", a, b))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.sources.scratch import saved
+
 
 def key_hash(key: str, salt: int = 0) -> Column:
     """Multiplicative hash of an integer key; the same in any SQL dialect."""
@@ -33,6 +35,17 @@ def numbered(rows: DataFrame, by: list[str], key: str, salt: int = 0) -> DataFra
     return held.withColumn("_in", inside).join(begins, match).withColumn("_at", F.col("_begin") + F.col("_in")).drop("_range", "_in", "_there", "_begin", *[f"_{c}" for c in by])
 
 
+def in_order(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds ``name``, each row's place (from 0) in the order of ``key``: ranges of keys are ordered by tasks of their own, and a
+    table of the ranges' sizes, a row a range, tells where each begins. Equal keys come in any order."""
+    held = saved(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = held.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return held.withColumn("_in", inside).join(F.broadcast(begins), "_range").withColumn(name, F.col("_begin") + F.col("_in")).drop("_range", "_in", "_begin")
+
+
 def balanced_sample(rows: DataFrame, by: list[str], key: str, target: int | None = None, salt: int = 0) -> DataFrame:
     """Equal groups: the rows of smallest hash, as many as the smallest group has or ``target``; smaller groups stay whole."""
     ranked = numbered(rows, by, key, salt)

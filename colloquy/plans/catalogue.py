@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as words
 from colloquy.operators import groups, lexical, ordered, probes, runs, sampling, scores, vectors
 from colloquy.plans import fixtures as fx
+from colloquy.sources.scratch import new_path
 from colloquy.streaming import repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,9 +255,7 @@ def grid(s, d):
 
 @query(f"WITH {TURNS}, r AS (SELECT DISTINCT run_id FROM turns), p AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, text FROM benchmark), n AS (SELECT count(*) AS n FROM p) SELECT run_id, text AS prompt FROM r, n JOIN p ON run_id % n = idx")
 def seed_prompt_assignment(s, d):
-    from pyspark.sql import Window
-
-    pool = fx.table(s, d, "benchmark").select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id")) - 1).alias("idx"), F.col("text").alias("prompt"))
+    pool = sampling.in_order(fx.table(s, d, "benchmark"), "item_id", "idx").select("idx", F.col("text").alias("prompt"))
     return runs.pool_prompt(fx.runs(s, d).select("run_id", F.col("run_id").alias("run_idx")), pool).select("run_id", "prompt")
 
 
@@ -498,15 +496,10 @@ def knn_other_runs(s, d):
 
 def _streamed(s: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Runs a stream over the events to its end, into a table in the cluster's shared folder."""
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    if not shared and not s.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    shared = shared or tempfile.mkdtemp(prefix="colloquy-")
-    name = s.sql("select uuid()").first()[0]
-    source, out = fx.table(s, d, "events"), f"{shared}/streamed-{name}"
+    source, out = fx.table(s, d, "events"), new_path(s, "streamed")
     # a file source reads folders or patterns; this pattern takes the one table
-    stream = build(s.readStream.schema(source.schema).parquet(f"{d}/events*.parquet"))
-    writer = stream.writeStream.option("checkpointLocation", f"{shared}/stream-{name}").outputMode(mode).trigger(availableNow=True)
+    stream = build(s.readStream.schema(source.schema).parquet(f"{d}/event[s].parquet"))
+    writer = stream.writeStream.option("checkpointLocation", new_path(s, "stream")).outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").start(out).awaitTermination()
     else:  # each batch brings the whole result

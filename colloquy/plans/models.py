@@ -177,7 +177,7 @@ def spherical_word_clusters(s, d):
 def word_topics(s, d):
     """The ten heaviest words of each of eight topics."""
     rows, codes = _packed_words(s, d)
-    _, by_code, _ = topics.factorise(rows, "doc_id", codes.count(), 8, rounds=12)
+    _, by_code, _ = topics.factorise(rows, "doc_id", codes.count(), 8, rounds=6)
     return topics.top_terms_of_topics(by_code, codes, 10)
 
 

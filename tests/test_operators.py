@@ -130,3 +130,19 @@ def test_kmeans_sweep_is_the_references(spark, monkeypatch):
     rows = spark.createDataFrame([(float(i % 7), float(i)) for i in range(30)], "x double, y double").select(F.array("x", "y").alias("v"))
     vectors.kmeans_labels(rows, "v", 3)
     assert len({g["seed"] for g in made}) == 10 and {g["maxIter"] for g in made} == {300}
+
+
+def test_a_category_is_counted_like_its_terms_one_by_one(spark):
+    texts = ["Aware, AWARENESS; self-aware unaware", "I cannot. i CANNOT, I'm sorry as an AI — as an AIs", "🌀🌀✨ spiral Spirals", "flow flows flowing dance\ndances", "transcend transcendent éternal eternal", "", "conscious consciousness_ conscious's"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for name, terms in text.MARKERS.items():
+        one_by_one = sum((text.marker_count(F.col("text"), [t]) for t in terms), F.lit(0))
+        got = df.select(text.marker_count(F.col("text"), terms).alias("together"), one_by_one.alias("apart")).collect()
+        assert [r.together for r in got] == [r.apart for r in got], name
+    assert [r.n for r in df.select("id", text.marker_count(F.col("text"), text.MARKERS["refusal"]).alias("n")).orderBy("id").collect()] == [0, 4, 0, 0, 0, 0, 0]
+
+
+def test_places_in_order(spark):
+    rows = spark.range(1000, numPartitions=7).select(((F.col("id") * 7919) % 1009).alias("k"))
+    got = sampling.in_order(rows, "k", "place").orderBy("k").collect()
+    assert [r.place for r in got] == list(range(1000)) and [r.k for r in got] == sorted(r.k for r in got)
