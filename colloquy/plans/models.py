@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import stars
-from colloquy.operators import density, folds, groups, lexical, profiles, runs, sampling, suite, sweeps, topics, vectors
+from colloquy.operators import contrasts, density, folds, groups, lexical, profiles, runs, sampling, suite, sweeps, topics, vectors
 from colloquy.plans import fixtures as fx
 from colloquy.plans.catalogue import FEATURES, HASH, LABELLED, TERMS, VECTORS, query
-from colloquy.sources.scratch import saved
+from colloquy.streaming import logs
+from colloquy.sources.scratch import new_path, saved
 
 #: Sizes of clusters that the density settings ask for, and how many clusters are looked for.
 LEASTS, WANTED = [2, 3, 5], 10
@@ -210,3 +211,51 @@ def kmeans_grid_stability(s, d):
 def kmeans_grid_purity(s, d):
     """Mean and deviation over starts of the purest cluster of each seed and variant, by k."""
     return profiles.purity_profile(_grid(s, d).withColumn("space", F.lit("vectors")), ["variant", "seed"], FLOOR)
+
+
+# lines, contrasts, stored axes, logs
+
+
+LINES = f"""WITH {LABELLED}, h AS (SELECT *, n_chars::DOUBLE AS x, quality::DOUBLE AS y FROM labelled WHERE n_chars IS NOT NULL AND quality IS NOT NULL),
+l AS (SELECT lang, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM h GROUP BY lang),
+e AS (SELECT h.*, l.n, l.mx, l.sxx, l.slope, l.intercept, y - intercept - slope * x AS residual FROM h JOIN l ON h.lang IS NOT DISTINCT FROM l.lang)"""
+
+
+@query(f"""{LINES}, c AS (SELECT lang, source, sum((x - mx) * residual) AS score, sum(residual * residual) AS rss, any_value(n) AS n, any_value(sxx) AS sxx, any_value(slope) AS slope, any_value(intercept) AS intercept FROM e GROUP BY lang, source),
+g AS (SELECT lang, any_value(n) AS n, count(*) AS n_clusters, any_value(slope) AS slope, any_value(intercept) AS intercept, any_value(sxx) AS sxx, sum(rss) AS rss, sum(score * score) AS meat FROM c GROUP BY lang)
+SELECT lang, n, n_clusters, round(1000 * slope, 6) AS slope_per_1000, round(intercept, 6) AS intercept, round(1000 * sqrt(rss / (n - 2) / sxx), 6) AS error_per_1000,
+ round(1000 * sqrt(n_clusters / (n_clusters - 1) * (n - 1) / (n - 2) * meat) / sxx, 6) AS robust_error_per_1000 FROM g""")
+def length_slopes(s, d):
+    """Per language the slope of quality over length, with errors that let texts of a source move together."""
+    found = contrasts.robust_slopes(fx.labelled(s, d), ["lang"], "n_chars", "quality", "source")
+    scaled = [(1_000 * F.col(c)).alias(f"{c}_per_1000") for c in ("slope", "error", "robust_error")]
+    return found.select("lang", "n", "n_clusters", "intercept", *scaled)
+
+
+@query(f"""{LINES}, b AS (SELECT quantile_cont(n_chars, [0.25, 0.5, 0.75]) AS b FROM e WHERE residual IS NOT NULL),
+q AS (SELECT toxic, residual, (1 + (n_chars > b[1])::INT + (n_chars > b[2])::INT + (n_chars > b[3])::INT)::BIGINT AS quarter FROM e, b WHERE residual IS NOT NULL)
+SELECT quarter, count(residual) FILTER (toxic = 1) AS n_pos, count(residual) FILTER (toxic <> 1) AS n_neg, round(avg(residual) FILTER (toxic = 1), 6) AS mean_pos, round(avg(residual) FILTER (toxic <> 1), 6) AS mean_neg,
+ round(avg(residual) FILTER (toxic = 1) - avg(residual) FILTER (toxic <> 1), 6) AS contrast FROM q GROUP BY quarter""")
+def residual_contrasts(s, d):
+    """Toxic against other texts by quarters of length, in what the language's line over length leaves of quality."""
+    left = contrasts.residuals(fx.labelled(s, d), ["lang"], "n_chars", "quality")
+    return contrasts.quarter_contrasts(left, "n_chars", "residual", F.col("toxic") == 1)
+
+
+@query()
+def pca_paths(s, d):
+    """The runs' paths in the plane of the two principal axes, fitted once and read back."""
+    rows = fx.vectors(s, d)
+    mean, axes = vectors.stored_axes(saved(vectors.fit_axes(rows, "vector"), "axes"))
+    return profiles.path_segments(rows, "run_id", "turn_index", "vector", mean, axes)
+
+
+@query("SELECT turn - 1 AS turn_index, count(*) AS n, sum(length(text)) AS chars FROM (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, text FROM conversations WHERE role <> 'system') GROUP BY turn")
+def streamed_logs(s, d):
+    """Logs of all runs, written as files and followed by a stream: turns and characters by place."""
+    folder, out = new_path(s, "logs"), new_path(s, "records")
+    files = fx.runs(s, d).withColumn("file", F.concat(F.lit("run"), F.col("run_id"), F.lit(".jsonl")))
+    logs.write_logs(files, fx.turns(s, d).withColumn("elapsed_ms", F.lit(0)), folder, "1")
+    logs.follow_logs(s, folder, out, new_path(s, "stream")).awaitTermination()
+    turns = logs.read_records(s, out).where("turn_index >= 0")
+    return turns.groupBy(F.col("turn_index").cast("long").alias("turn_index")).agg(F.count("*").alias("n"), F.sum(F.length("content")).cast("long").alias("chars"))

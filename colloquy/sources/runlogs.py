@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,12 @@ def named_runs(files: DataFrame, file: str = "file") -> DataFrame:
 
 
 def read_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Score records, one row a turn; bad lines are skipped and runs without turns keep one row."""
-    held = spark.read.schema(SCORES + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
-    return held.where("_corrupt is null").select("file", "n_turns", "verdict", "max_p_unsafe", "mean_p_unsafe", F.explode_outer("turns").alias("t")).select("*", "t.turn_index", "t.agent", "t.p_unsafe").drop("t")
+    """Score records, one row a turn; bad lines are skipped and runs without turns keep one row. A file in several batches is
+    taken from the first of them by name."""
+    held = spark.read.schema(SCORES + ", batch string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(folder).where("_corrupt is null")
+    first = held.groupBy("file").agg(F.min("batch").alias("_first"))
+    held = held.join(first.withColumnRenamed("file", "_file"), F.col("file").eqNullSafe(F.col("_file"))).where(F.col("batch").eqNullSafe(F.col("_first")))
+    return held.select("file", "n_turns", "verdict", "max_p_unsafe", "mean_p_unsafe", F.explode_outer("turns").alias("t")).select("*", "t.turn_index", "t.agent", "t.p_unsafe").drop("t")
 
 
 def read_pool(spark: SparkSession, path: str, column: str, without: tuple[str, str] | None = None) -> DataFrame:
@@ -69,17 +73,22 @@ def read_pool(spark: SparkSession, path: str, column: str, without: tuple[str, s
     return found
 
 
-def append_scores(records: DataFrame, folder: str) -> None:
-    """Adds score records of files that the folder doesn't hold yet."""
-    spark = records.sparkSession
+def append_scores(records: DataFrame, folder: str, batch: str) -> None:
+    """Adds score records of files that the folder doesn't hold yet, as ``folder/batch=...``.
+
+    A batch that is written again, by a retry or by a second writer, replaces its own records and adds none; files of other
+    batches are left out. Batches of different names that run at the same moment may hold a file both; ``read_scores``
+    takes it from the first of them.
+    """
+    spark, own = records.sparkSession, f"{folder}/batch={batch}"
     try:
-        done = spark.read.schema(SCORES).json(folder).select("file").distinct()
-    except Exception as missing:  # the folder comes with the first records
-        if "PATH_NOT_FOUND" not in str(missing):
+        done = spark.read.schema(SCORES + ", batch string").json(folder).where(F.col("batch") != batch).select("file").distinct()
+    except AnalysisException as missing:  # the folder comes with the first records
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         done = None
     fresh = records if done is None else records.join(done, "file", "left_anti")
-    fresh.write.mode("append").json(folder)
+    fresh.write.mode("overwrite").json(own)
 
 
 def write_vectors(rows: DataFrame, path: str) -> None:

@@ -114,9 +114,14 @@ def test_file_names(spark):
 
 def test_scores_are_added_once(spark, tmp_path):
     record = spark.createDataFrame([("a", 1), ("b", 1)], "file string, n_turns int")
-    for _ in range(2):
-        runlogs.append_scores(record, str(tmp_path / "scores"))
-    assert runlogs.read_scores(spark, str(tmp_path / "scores")).count() == 2
+    where = str(tmp_path / "scores")
+    for batch in ("1", "1", "2"):
+        runlogs.append_scores(record, where, batch)
+    assert runlogs.read_scores(spark, where).count() == 2
+    runlogs.append_scores(record.union(spark.createDataFrame([("c", 1)], "file string, n_turns int")), where, "3")
+    assert sorted(r.file for r in runlogs.read_scores(spark, where).collect()) == ["a", "b", "c"]
+    record.write.json(where + "/batch=4")  # two writers at the same moment
+    assert runlogs.read_scores(spark, where).count() == 3
 
 
 def test_kmeans_sweep_is_the_references(spark, monkeypatch):
