@@ -640,6 +640,8 @@ def test_pipeline(spark):
 
 def test_stages_on_odd_rows(spark):
     """Null, empty and repeated rows, null keys, clashing names; then no rows at all."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     docs = odd_documents(spark, ["mail a.b@c.de " + " ".join(f"w{i}" for i in range(30))]).withColumn("lang", F.lit("en")).withColumn("kept", F.lit("mine")).withColumn("phases", F.lit(1))
@@ -652,3 +654,7 @@ def test_stages_on_odd_rows(spark):
         assert out.columns == docs.columns and Counter(r.text for r in out.collect()) == Counter(r.text and r.text.replace("a.b@c.de", "<EMAIL>") for r in frame.collect())
         out = corpus_pipeline.source_mix(spark, frame, SF)
         assert out.columns == docs.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, frame.collect()))
+        out = corpus_pipeline.tokens(spark, frame, SF)
+        library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        want = [library.encode(r.text or "", add_special_tokens=False).ids for r in frame.collect()]
+        assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and [r.ids for r in out.collect()] == want
