@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.ranks import quantiles
+
 
 def _sound(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -53,7 +55,7 @@ def quarter_contrasts(rows: DataFrame, x: str, value: str, positive: Column) ->
 
     ``positive`` null belongs to neither class. The bounds are exact, from counts of the distinct values of x."""
     held = _sound(rows, x, value)
-    bounds = held.agg(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_b"))
+    bounds = quantiles(held, [], x, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(F.array("q1", "q2", "q3").alias("_b"))
     quarter = 1 + F.aggregate("_b", F.lit(0), lambda n, b: n + (F.col(x) > b).cast("int"))
     placed = held.crossJoin(F.broadcast(bounds)).withColumn("quarter", quarter.cast("long"))
     of = lambda c: F.when(c, F.col(value).cast("double"))

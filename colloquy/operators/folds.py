@@ -158,6 +158,36 @@ def cross_validated(predicted: DataFrame, by: list[str] | None = None) -> DataFr
     )
 
 
+def transfer_grid(rows: DataFrame, vector: str, label: str, domain: str, l2: float = 1.0) -> DataFrame:
+    """Every domain's model on every domain's rows: (source, target, n, accuracy, auc), a row a pair, the own one included.
+
+    All models are fitted in the same passes, and each row is scored by all of them in one more; nulls stand where a
+    source's or target's rows have one class. Rows without domain, vector or label are left out.
+    """
+    sound = rows.where(F.col(domain).isNotNull() & F.col(vector).isNotNull() & F.col(label).isNotNull())
+    names = sorted(r[0] for r in sound.select(domain).distinct().collect())  # a model each
+    kind = rows.schema[domain].dataType.simpleString()
+    if not names:
+        return rows.sparkSession.createDataFrame([], f"source {kind}, target {kind}, n long, accuracy double, auc double")
+    known = F.array(*[F.lit(x) for x in names])
+    coded = sound.select((F.array_position(known, F.col(domain)) - 1).cast("int").alias("domain"), F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"))
+    sent = rows.sparkSession.sparkContext.broadcast(fit_dense(coded, "x", "y", 1, 0, l2, domains=len(names)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = _matrix(frame, "x")
+                for m in range(len(names)):
+                    yield pd.DataFrame({"source": m, "target": frame["domain"], "y": frame["y"], "probability": sent.value.probabilities(x, m)})
+
+    scored = coded.mapInPandas(run, "source int, target int, y double, probability double").withColumn("probability", F.nanvl("probability", F.lit(None).cast("double")))
+    keys = ["source", "target"]
+    right = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(((F.col("probability") >= 0.5).cast("double") == F.col("y")).cast("double")).alias("accuracy"))
+    both = right.join(scores.auc(scored, keys, "probability", F.col("y") == 1).select(*keys, "auc"), keys, "left")
+    name = lambda c: F.element_at(known, F.col(c) + 1).alias(c)
+    return both.select(name("source"), name("target"), "n", "accuracy", "auc")
+
+
 # words
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import cosine_distance, dot, norm
+from colloquy.operators.ranks import quantiles
 
 
 def purity_profile(assigned: DataFrame, targets: list[str], floor: int) -> DataFrame:
@@ -64,9 +65,8 @@ def cosine_steps(rows: DataFrame, key: str, order: str, vector: str) -> DataFram
 
 
 def quarter_bounds(rows: DataFrame, value: str) -> DataFrame:
-    """The three bounds of a column's quarters, one row."""
-    p = rows.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
-    return p.select(*[F.col("p")[i].alias(name) for i, name in enumerate(("q1", "q2", "q3"))])
+    """The three bounds of a column's quarters, one row (none without values)."""
+    return quantiles(rows, [], value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
 
 
 def path_segments(rows: DataFrame, key: str, order: str, vector: str, mean: list[float], axes: list[list[float]]) -> DataFrame:

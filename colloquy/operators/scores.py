@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import mann_whitney_p
+from colloquy.operators.ranks import joined_by, quantiles, rank_sums
 
 
 def _value_counts(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
@@ -13,16 +14,6 @@ def _value_counts(rows: DataFrame, by: list[str], score: str, positive: Column)
     return rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("value")).agg(F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg"))
 
 
-def rank_sums(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
-    """Per group: sizes of both classes, the U statistic of the positives (ties count half) and the tie sum."""
-    below = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(1)).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    counts = _value_counts(rows, by, score, positive).withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    t = (F.col("pos") + F.col("neg")).cast("double")
-    return counts.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("u"), F.sum(t * t * t - t).alias("ties")
-    )
-
-
 def auc(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve per group; null if a class is missing."""
     return rank_sums(rows, by, score, positive).select(*by, "n_pos", "n_neg", F.try_divide(F.col("u"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
@@ -88,9 +79,10 @@ def safety_by_run(scored: DataFrame, unsafe_at: float = 0.5) -> DataFrame:
 def safety_distribution(scored: DataFrame, by: list[str]) -> DataFrame:
     """Per group: valid scores, median, 99th percentile, share and count at 0.5 or more."""
     p = F.col("p_unsafe")
-    return scored.where(p.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.median(p).alias("median"), F.percentile(p, F.lit(0.99)).alias("p99"), F.avg((p >= 0.5).cast("double")).alias("share_flagged"), F.count(F.when(p >= 0.5, 1)).alias("n_flagged")
-    )
+    sizes = scored.where(p.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg((p >= 0.5).cast("double")).alias("share_flagged"), F.count(F.when(p >= 0.5, 1)).alias("n_flagged"))
+    middle = quantiles(scored, by, "p_unsafe", {"median": 0.5, "p99": 0.99})
+    joined = joined_by(sizes, middle, by)
+    return joined.select(*by, "n", "median", "p99", "share_flagged", "n_flagged")
 
 
 def histogram(rows: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:

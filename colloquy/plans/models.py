@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import stars
-from colloquy.operators import contrasts, density, folds, groups, lexical, profiles, runs, sampling, suite, sweeps, topics, vectors
+from colloquy.operators import contrasts, density, folds, groups, lexical, profiles, ranks, runs, sampling, suite, sweeps, topics, vectors
 from colloquy.plans import fixtures as fx
-from colloquy.plans.catalogue import FEATURES, HASH, LABELLED, TERMS, VECTORS, query
+from colloquy.plans.catalogue import CENTRES, FEATURES, HASH, LABELLED, TERMS, VECTORS, query
 from colloquy.streaming import logs
 from colloquy.sources.scratch import new_path, saved
 
@@ -59,10 +59,35 @@ def neighbour_outliers(s, d):
     """Distance of every vector to its fifth nearest other one, and whether that is above the 95th percentile."""
     near = density.neighbour_distances(fx.vectors(s, d), "vec_id", "vector", 5, own=False)
     kth = saved(near.select(F.col("key").alias("vec_id"), F.element_at("near", 5).alias("kth")), "kth")
-    bound = kth.agg(F.percentile("kth", F.lit(0.95)).alias("_bound"))
+    bound = ranks.quantiles(kth, [], "kth", {"_bound": 0.95})
     return kth.crossJoin(F.broadcast(bound)).select("vec_id", "kth", (F.col("kth") > F.col("_bound")).alias("outlier"))
 
 
+REVIEW = f"""{CENTRES}, o AS (SELECT vec_id, own AS cluster, min(d) FILTER (cluster = own) AS d, abs(min(d) FILTER (cluster = own) - min(d) FILTER (cluster <> own)) AS gap FROM g GROUP BY ALL),
+r AS (SELECT cluster, 'medoid' AS kind, row_number() OVER (PARTITION BY cluster ORDER BY round(d, 9), vec_id) AS rank, vec_id FROM o UNION ALL SELECT cluster, 'boundary', row_number() OVER (PARTITION BY cluster ORDER BY round(gap, 9) NULLS LAST, vec_id), vec_id FROM o),
+t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+e AS (SELECT r.cluster, kind, rank, '- [row ' || r.vec_id || '] variant=' || variant || ' seed=' || seed || ' agent=A turn=' || turn_index || ' run=' || left(run_id::VARCHAR, 8) || chr(10)
+ || CASE WHEN t.t IS NULL THEN '    (text missing)' ELSE '    ' || replace(CASE WHEN length(t.t) > 1500 THEN left(t.t, 1500) || ' …[truncated]' ELSE t.t END, chr(10), chr(10) || '    ') END || chr(10) || chr(10) AS entry
+ FROM r JOIN vectors USING (vec_id) LEFT JOIN t ON t.doc_id = r.vec_id WHERE rank <= 4),
+s AS (SELECT cluster, count(*) AS n FROM vectors GROUP BY cluster)
+SELECT cluster, n, printf('## cluster %s  (n=%d, frac=%.1f%%)', cluster::VARCHAR, n, 100 * n / (SELECT count(*) FROM vectors)) || chr(10) || chr(10) || '### medoids (closest to cluster center)' || chr(10) || chr(10)
+ || coalesce(string_agg(entry, '' ORDER BY rank) FILTER (kind = 'medoid'), '') || chr(10) || '### boundary (most ambiguous between this cluster and another)' || chr(10) || chr(10)
+ || coalesce(string_agg(entry, '' ORDER BY rank) FILTER (kind = 'boundary'), '') || chr(10) || '---' || chr(10) || chr(10) AS markdown FROM e JOIN s USING (cluster) GROUP BY cluster, n"""
+
+
+@query(REVIEW)
+def cluster_review(s, d):
+    """A Markdown section a cluster with the texts of its nearest and boundary rows."""
+    texts = fx.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return vectors.review(fx.vectors(s, d).withColumn("agent", F.lit("A")), "cluster", "vec_id", "vector", texts)
+
+
+@query()
+def cross_seed_transfer(s, d):
+    """Variants told apart by every seed's model on the rows of every seed."""
+    return folds.transfer_grid(fx.vectors(s, d).withColumn("y", jb().cast("int")), "vector", "y", "seed")
+
+
 # classifiers under folds
 
 

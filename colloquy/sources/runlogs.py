@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +21,7 @@ FILE_NAME = r"^(vanilla|jailbroken)_(.+)_([0-9a-f]{32})_([0-9TZ]+)\.jsonl$"
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Records of all logs: file, line (from 0, blank lines left out), and the record's fields (null for torn lines)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").text(folder).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = files.select("file", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("line", "text"))
     return lines.select("file", "line", F.from_json("text", RECORD).alias("r"))
 
@@ -47,6 +51,28 @@ def read_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return runs, turns
 
 
+def read_said(spark: SparkSession, folder: str) -> DataFrame:
+    """What was said, for scoring: file, turn_index, agent, content, in the order of files and turns.
+
+    Turns alone, with or without a header before them: lines without a turn number of 0 or more are left out, and so are
+    torn lines and turns whose content is no string. A missing agent is A, a missing content is empty.
+    """
+    files = spark.read.option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text")).select("file", "line", F.try_parse_json("text").alias("v"))
+    part = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    content = part("content", "variant")
+    turns = lines.select("file", "line", part("turn_index", "int").alias("turn_index"), F.coalesce(part("agent", "string"), F.lit("A")).alias("agent"), F.coalesce(F.schema_of_variant(content), F.lit("STRING")).alias("_kind"), F.coalesce(part("content", "string"), F.lit("")).alias("content"))
+    return turns.where("turn_index >= 0 and _kind = 'STRING'").orderBy("file", "turn_index", "line").select("file", "turn_index", "agent", "content")
+
+
+def run_index(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id and path of every log whose first line is a record with a run_id: no other line is parsed. Of several logs of
+    a run the last path stands."""
+    files = spark.read.option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True)
+    head = files.select(F.get_json_object(F.substring_index("value", "\n", 1), "$.run_id").alias("run_id"), F.col("_metadata.file_path").alias("path"))
+    return head.where("run_id <> ''").groupBy("run_id").agg(F.max("path").alias("path"))
+
+
 def named_runs(files: DataFrame, file: str = "file") -> DataFrame:
     """Variant, seed and id from file names; null where a name doesn't fit."""
     part = lambda i: F.nullif(F.regexp_extract(file, FILE_NAME, i), F.lit(""))
@@ -73,6 +99,62 @@ def read_pool(spark: SparkSession, path: str, column: str, without: tuple[str, s
     return found
 
 
+#: The named pools, their files, columns, and the rows each leaves out.
+POOLS = {
+    "advbench": ("advbench.csv", "goal", None),
+    "jbb": ("jbb.csv", "Goal", None),
+    "jbb_sans_advbench": ("jbb.csv", "Goal", ("Source", "AdvBench")),
+    "alpaca": ("alpaca.csv", "instruction", None),
+}
+
+
+def named_pool(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The prompts of one of ``POOLS`` from its file in ``folder``; other names are an error that lists them."""
+    if name not in POOLS:
+        raise ValueError(f"no pool {name!r}, only {sorted(POOLS)}")
+    file, column, without = POOLS[name]
+    return read_pool(spark, f"{folder.rstrip('/')}/{file}", column, without)
+
+
+def standalone(records: DataFrame, text: str = "instruction", context: str = "input", seed: int = 0) -> DataFrame:
+    """Prompts that need no context (null or blank), in an order that a hash of prompt and seed fixes: the same on any
+    cluster, so that any stretch of it is a fair sample. Equal prompts stay, next to each other."""
+    alone = records.where(F.trim(F.coalesce(context, F.lit(""))) == "")
+    return alone.select(text).orderBy(F.xxhash64(text, F.lit(seed)), text)
+
+
+def write_pool(prompts: DataFrame, path: str) -> bool:
+    """Prompts as CSV files with headers, in their order, quoted so that ``read_pool`` gives them back. A pool that is there
+    already is left as it is, and False says so."""
+    try:
+        prompts.write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    except AnalysisException as there:
+        if there.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        return False
+    return True
+
+
+def cached(spark: SparkSession, folder: str, compute: Callable[[], DataFrame], **parameters: object) -> DataFrame:
+    """A result by the parameters that it was worked out with: read where it is there whole, else computed and written.
+
+    The key is a digest of the sorted parameters, which are written last, beside the rows: rows without them were cut short
+    and are worked out again.
+    """
+    held = json.dumps(parameters, sort_keys=True, default=str)
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(held.encode()).hexdigest()[:32]}"
+    try:
+        whole = spark.read.text(f"{path}/parameters").count() == 1
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        whole = False
+    if not whole:
+        compute().write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(held,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/parameters")
+    return spark.read.parquet(f"{path}/rows")
+
+
 def append_scores(records: DataFrame, folder: str, batch: str) -> None:
     """Adds score records of files that the folder doesn't hold yet, as ``folder/batch=...``.
 

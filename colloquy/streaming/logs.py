@@ -35,8 +35,8 @@ def follow_logs(spark: SparkSession, folder: str, out: str, checkpoint: str, per
     """Starts a stream that takes new ``*.jsonl`` or ``*.txt`` files below ``folder``, at most ``per_batch`` a batch, until
     there are no more, and writes their records to ``out/batch=N``. A batch that failed after it wrote is written over when
     the stream goes on from its checkpoint, so no record is lost or doubled."""
-    source = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,txt}").option("maxFilesPerTrigger", per_batch)
-    files = source.text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    source = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,txt}").option("maxFilesPerTrigger", per_batch)
+    files = source.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def put(rows: DataFrame, batch: int) -> None:
         _parse(rows).write.mode("overwrite").parquet(f"{out}/batch={batch}")
