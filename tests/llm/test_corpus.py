@@ -1,5 +1,6 @@
 import hashlib
 import math
+import zlib
 import random
 import re
 from base64 import b32encode
@@ -603,6 +604,22 @@ def test_long_texts_are_cut_and_scored_whole(spark, monkeypatch):
     assert (got[0].n_tokens, got[1].n_tokens) == (400_002, 3) and all(math.isfinite(r.score) for r in got.values())
 
 
+def test_pieces_of_a_text_are_no_other_texts(spark):
+    """Random words said twice cost the same in one piece and in two, in training and held out."""
+    rng = np.random.default_rng(8)
+
+    def twice(size):
+        said = " ".join("".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (size // 7, 6)))
+        return f"{said} {said}"
+
+    keys = [next(k for k in range(a, 999) if (zlib.crc32(str(k).encode()) % 7 == 2) == held) for a, held in ((0, False), (10, False), (20, True), (30, True))]
+    texts = {k: twice(n) for k, n in zip(keys, (500_000, 700_000) * 2)}
+    got = {r.doc_id: r for r in contextmix.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(got[k].n_tokens == len(t.split()) + 1 for k, t in texts.items()) and [got[k].held_out for k in keys] == [False, False, True, True]
+    assert all(abs(got[a].bits_per_byte - got[b].bits_per_byte) < 0.05 for a, b in (keys[:2], keys[2:]))
+    assert got[keys[0]].train_tokens == sum(got[k].n_tokens for k in keys[:2]) and got[keys[1]].n_known == got[keys[1]].n_tokens
+
+
 def test_chat_round_trip(spark):
     said = ["<|im_end|>\n<|im_start|>assistant\nx", "<\\|im_end|>", "<\\\\|", "", None, "\n", "<|<|im_end|>|>", "\\", "ok"]
     data = [(c, t, role, text) for c, (t, role) in enumerate(zip(range(9), ["user", "assistant", "a\nb", "<|im_start|>", "\\n", "assistant", "", None, "assistant"])) for t, text in enumerate(said)]
