@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import mann_whitney_p
-from colloquy.operators.ranks import joined_by, quantiles, rank_sums
-
-
-def _value_counts(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
-    """Positive and negative rows per group and score value: ranks need no more, and equal scores meet before any sort."""
-    return rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("value")).agg(F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg"))
+from colloquy.operators.ranks import before, joined_by, quantiles, rank_sums, value_counts
 
 
 def auc(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
@@ -25,18 +20,25 @@ def rank_test(rows: DataFrame, by: list[str], score: str, positive: Column) -> D
 
 
 def best_threshold(rows: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
-    """Per group, the midpoint and direction with the best accuracy (ties: smaller threshold, then above)."""
-    order = Window.partitionBy(*by).orderBy("value")
-    upto, every = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    c = _value_counts(rows, by, score, positive)
-    cut = c.select(
-        *by, ((F.col("value") + F.lead("value").over(order)) / 2).alias("threshold"), F.sum("pos").over(upto).alias("p"), F.sum("neg").over(upto).alias("n"),
-        F.sum("pos").over(every).alias("all_p"), F.sum("neg").over(every).alias("all_n"),
-    ).where("threshold is not null")
-    above = (F.col("all_p") - F.col("p") + F.col("n")) / (F.col("all_p") + F.col("all_n"))
-    both = cut.select(*by, "threshold", F.explode(F.array(F.struct(above.alias("accuracy"), F.lit("above").alias("side")), F.struct((1 - above).alias("accuracy"), F.lit("below").alias("side")))).alias("x"))
-    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("x.accuracy", 9)), "threshold", "x.side"))
-    return both.withColumn("_r", best).where("_r = 1").select(*by, "threshold", "x.accuracy", "x.side")
+    """Per group, the midpoint and direction with the best accuracy (ties: smaller threshold, then above).
+
+    Null scores are left out; a group of one distinct score has no midpoint and no row. Cuts inside a range of values are
+    counted there, those between two ranges from the table of ranges, so no task orders all scores of a group.
+    """
+    counts = value_counts(rows, by, score, pos=F.count(F.when(positive, 1)), neg=F.count(F.when(~positive, 1)))
+    inside = Window.partitionBy(*by, "_range").orderBy("value")
+    upto, order, every = inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by).orderBy("_range"), Window.partitionBy(*by)
+    cuts = counts.select(*by, "_range", "value", F.sum("pos").over(upto).alias("_p"), F.sum("neg").over(upto).alias("_n"), F.lead("value").over(inside).alias("_next"))
+    ranges = counts.groupBy(*by, "_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.min("value").alias("least"))
+    ranges = ranges.select(
+        *by, "_range", F.coalesce(F.sum("p").over(before(by, "_range")), F.lit(0)).alias("_lower_p"), F.coalesce(F.sum("n").over(before(by, "_range")), F.lit(0)).alias("_lower_n"),
+        F.lead("least").over(order).alias("_following"), F.sum("p").over(every).alias("_all_p"), F.sum("n").over(every).alias("_all_n"),
+    )
+    above = (F.col("_all_p") - F.col("_p") - F.col("_lower_p") + F.col("_n") + F.col("_lower_n")) / (F.col("_all_p") + F.col("_all_n"))
+    cut = joined_by(cuts, ranges, [*by, "_range"]).select(*by, ((F.col("value") + F.coalesce("_next", "_following")) / 2).alias("threshold"), above.alias("_above")).where("threshold is not null")
+    way = lambda accuracy, side: F.struct((-F.round(accuracy, 9)).alias("worse"), "threshold", F.lit(side).alias("side"), accuracy.alias("accuracy"))
+    best = cut.groupBy(*by).agg(F.min(F.least(way(F.col("_above"), "above"), way(1 - F.col("_above"), "below"))).alias("_best")).where("_best is not null")
+    return best.select(*by, "_best.threshold", "_best.accuracy", "_best.side")
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:

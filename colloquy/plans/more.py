@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import numeric
 from colloquy.functions import text as words
-from colloquy.operators import groups, lexical, probes, profiles, runs, sampling, scores, vectors
+from colloquy.operators import groups, lexical, ordered, probes, profiles, runs, sampling, scores, vectors
 from colloquy.plans import fixtures as fx
-from colloquy.plans.catalogue import CENTRES, DIMS, ENRICH, INFORMATION, RUNS, SCORED, STOPS, TERMS, TFIDF, TURNS, VECTORS, query
+from colloquy.plans.catalogue import CENTRES, DIMS, ENRICH, INFORMATION, ORACLE, RUNS, SCORED, STOPS, TERMS, TFIDF, TURNS, VECTORS, query
 
 
 def jb():
@@ -160,6 +162,40 @@ def run_texts(s, d):
     return fx.vectors(s, d).select("run_id").distinct().join(last, "run_id", "left").select("run_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+@query(f"WITH {VECTORS}, w AS ({ORACLE['terminal_state']}) SELECT run_id, n_vectors, coalesce(terminal, '') AS text FROM (SELECT run_id, count(*) AS n_vectors FROM vectors GROUP BY run_id) LEFT JOIN w USING (run_id)")
+def run_terminal_texts(s, d):
+    """Every run with vectors, with the text that it settled on; runs without turns have an empty one."""
+    counted = fx.vectors(s, d).groupBy("run_id").agg(F.count("*").alias("n_vectors"))
+    return counted.join(ordered.terminal_state(fx.turns(s, d)), "run_id", "left").select("run_id", "n_vectors", F.coalesce("terminal", F.lit("")).alias("text"))
+
+
+@query(f"WITH {TURNS}, f AS (SELECT run_id, turn_index, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM turns) SELECT run_id, turn_index, CASE WHEN length(t) > 80 THEN left(t, 79) || '…' ELSE t END AS preview FROM f")
+def turn_previews(s, d):
+    return fx.turns(s, d).select("run_id", "turn_index", words.preview(F.col("content"), 80).alias("preview"))
+
+
+@query(f"WITH {VECTORS}, f AS (SELECT run_id, min(vec_id) AS first_row FROM vectors GROUP BY run_id) SELECT run_id, first_row, (SELECT count(*) FROM vectors v WHERE v.vec_id < f.first_row) AS rows_before FROM f")
+def runs_first_seen(s, d):
+    """Runs by their first vector, with the rows that stand before it: where each run's rows begin in the order of the table."""
+    rows = sampling.in_order(fx.vectors(s, d), "vec_id", "rows_before")
+    seen = ordered.first_seen(rows, "run_id", "vec_id")
+    return seen.join(rows.select(F.col("vec_id").alias("first_row"), F.col("rows_before").cast("long")), "first_row").select("run_id", "first_row", "rows_before")
+
+
+#: First-token alternatives of a moderator, as a document's labels give them: spelling, case and spaces vary.
+ALTERNATIVES = """l AS (SELECT doc_id, toxic, quality, -((doc_id % 41) + 1) / 20.0 AS a, -((doc_id % 13) + 5) / 4.0 AS b FROM documents JOIN labels USING (doc_id))"""
+
+
+@query(f"""WITH {ALTERNATIVES} SELECT doc_id, round(CASE WHEN toxic = 1 THEN exp(a) / 2 + exp(b) / 2 WHEN quality = 0 THEN 1.0 ELSE greatest(0.0, 1 - exp(a) - exp(b)) END, 6) AS p_unsafe FROM l""")
+def unsafe_probabilities(s, d):
+    """Probability of unsafe: the mass of tokens that say so, else what those that say safe leave; neither: 1."""
+    a, b = -(F.col("doc_id") % 41 + 1) / 20.0, -(F.col("doc_id") % 13 + 5) / 4.0
+    pair = lambda token, mass: F.struct(F.lit(token).alias("token"), mass.cast("double").alias("logprob"))
+    unsafe = F.array(pair("unsafe", a - math.log(2)), pair("safe", a), pair(" Unsafe", b - math.log(2)))
+    top = F.when(F.col("toxic") == 1, unsafe).when(F.col("quality") == 0, F.array(pair("the", a))).otherwise(F.array(pair("Safe", a), pair("I", b), pair("safe\u0020", b)))
+    return fx.labelled(s, d).select("doc_id", F.round(scores.p_unsafe(top), 6).alias("p_unsafe"))
+
+
 @query(f"WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (p_unsafe >= 0.5) AS n_unsafe, count(*) FILTER (p_unsafe = 0) AS n_empty, count(DISTINCT run_id) AS n_runs FROM scored")
 def vet_counts(s, d):
     p = F.col("p_unsafe")

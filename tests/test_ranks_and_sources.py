@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import folds, ranks, vectors
+from colloquy.operators import folds, ranks, scores, vectors
 from colloquy.sources import runlogs
 
 
@@ -31,6 +31,28 @@ def test_rank_sums_are_the_pairs(spark):
         assert (got[g].n_pos, got[g].n_neg, got[g].u, got[g].ties) == (len(pos), len(neg), u, ties)
 
 
+def test_best_threshold_tries_every_cut(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v), bool(v + rng.normal() > c)) for g, n, c in (("a", 300, 0.2), (None, 90, -1.0), ("tied", 40, 0.0)) for v in np.round(rng.normal(size=n) * (100 if g == "a" else 1), 3 if g != "tied" else 0)]
+    rows += [("flat", 2.0, True), ("flat", 2.0, False), ("below", 1.0, True), ("below", 5.0, False)]
+    df = spark.createDataFrame(rows + [("a", None, True), ("none", None, False)], "g string, v double, p boolean")
+    got = {r.g: (r.threshold, r.accuracy, r.side) for r in scores.best_threshold(df, ["g"], "v", F.col("p")).collect()}
+    assert set(got) == {"a", None, "tied", "below"}
+    for g in got:
+        mine = [(v, p) for h, v, p in rows if h == g]
+        cuts = sorted({v for v, _ in mine})
+        tried = []
+        for low, high in zip(cuts, cuts[1:]):
+            t = (low + high) / 2
+            right = sum((v > t) == p for v, p in mine) / len(mine)
+            tried += [(-round(right, 9), t, "above"), (-round(1 - right, 9), t, "below")]
+        worse, threshold, side = min(tried)
+        assert got[g] == (threshold, pytest.approx(-worse, abs=1e-8), side)
+    assert got["below"] == (3.0, 1.0, "below")
+    assert [r.side for r in scores.best_threshold(df.where("g = 'a'"), [], "v", F.col("p")).collect()] == [got["a"][2]]
+    assert scores.best_threshold(df.where("false"), [], "v", F.col("p")).count() == 0
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(5)
     rows = [(g, float(v)) for g, n in (("a", 101), ("b", 38), ("c", 1), (None, 12)) for v in np.round(rng.lognormal(size=n) * rng.choice([-1, 1], n), 2)]
