@@ -39,6 +39,15 @@ def enrichment_p(table: DataFrame) -> DataFrame:
     return table.withColumn("p", hypergeometric_p("k", "total", "marked", "n"))
 
 
+def enriched_kinds(rows: DataFrame, cluster: str, target: Column, kind: Column, floor: int = 30, enrichment_at: float = 1.5, z_at: float = 6.0, share_at: float = 0.5) -> DataFrame:
+    """Adds to each cluster's enrichment the share of its rows that are of a kind (null: not), and whether it counts: enough
+    rows, enriched in the target at both bounds, and at least that share of the kind. Without a z it doesn't count."""
+    share = rows.groupBy(F.col(cluster).alias("_cluster")).agg(F.avg(F.coalesce(kind, F.lit(False)).cast("double")).alias("kind_share"))
+    counts = (F.col("enrichment") >= enrichment_at) & (F.col("z") >= z_at) & (F.col("kind_share") >= share_at)
+    found = enrichment(rows, cluster, target, floor).join(share, F.col(cluster).eqNullSafe(F.col("_cluster"))).drop("_cluster")
+    return found.withColumn("counted", F.coalesce(counts, F.lit(False)))
+
+
 def max_purity(rows: DataFrame, cluster: str, target: Column, floor: int) -> DataFrame:
     """The largest target share among clusters of at least ``floor`` rows (null if there is none)."""
     share = rows.groupBy(cluster).agg(F.count("*").alias("n"), F.avg(target.cast("double")).alias("frac"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import gzip_ratio
+from colloquy.operators.ranks import joined_by, quantiles
 
 NATURAL = ("completed", "degenerate_repetition")
 
@@ -76,13 +77,18 @@ def long_features(features: DataFrame, names: list[str], keep: list[str]) -> Dat
 
 
 def describe_by_class(long: DataFrame, positive: Column) -> DataFrame:
-    """Per feature: mean and median of both classes, and Cohen's d with pooled variance (null if it is 0)."""
+    """Per feature: mean and median of both classes, and Cohen's d with pooled variance (null if it is 0).
+
+    Null values and rows whose class is null are left out. Medians go by ranges of values: a feature's values meet in no task.
+    """
     one, two = F.when(positive, F.col("value")), F.when(~positive, F.col("value"))
     stats = long.groupBy("feature").agg(
-        *[f(x).alias(f"{k}_{side}") for side, x in (("pos", one), ("neg", two)) for k, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("var", F.var_samp))]
+        *[f(x).alias(f"{k}_{side}") for side, x in (("pos", one), ("neg", two)) for k, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
     )
+    middle = quantiles(long.withColumn("_side", positive).where("_side is not null"), ["feature", "_side"], "value", {"median": 0.5})
+    middle = middle.groupBy("feature").agg(F.max(F.when(F.col("_side"), F.col("median"))).alias("median_pos"), F.max(F.when(~F.col("_side"), F.col("median"))).alias("median_neg"))
     pooled = F.sqrt(F.try_divide((F.col("n_pos") - 1) * F.col("var_pos") + (F.col("n_neg") - 1) * F.col("var_neg"), F.col("n_pos") + F.col("n_neg") - 2))
-    return stats.select("feature", "mean_pos", "mean_neg", "median_pos", "median_neg", F.try_divide(F.col("mean_pos") - F.col("mean_neg"), pooled).alias("cohens_d"))
+    return joined_by(stats, middle, ["feature"]).select("feature", "mean_pos", "mean_neg", "median_pos", "median_neg", F.try_divide(F.col("mean_pos") - F.col("mean_neg"), pooled).alias("cohens_d"))
 
 
 def turn_slice(turns: DataFrame, start: int | None, stop: int | None) -> DataFrame:

@@ -145,6 +145,15 @@ def benign_clusters(s, d):
     return found.agg(F.count("*").alias("n_clusters"))
 
 
+@query(f"""WITH {VECTORS}, c AS (SELECT cluster, count(*)::DOUBLE AS n, count(*) FILTER (vector[1] > 0)::DOUBLE AS k, avg((seed IN ('seed1', 'seed2', 'seed3', 'seed4'))::INT) AS kind_share FROM vectors GROUP BY cluster),
+t AS (SELECT sum(n) AS t, sum(k) AS m FROM c), e AS (SELECT *, k / n / (m / t) AS x, (k - n * m / t) / sqrt(n * m * (t - m) * (t - n) / (t * t * (t - 1))) AS z FROM c, t WHERE n >= 30)
+SELECT cluster, n::BIGINT AS n, k::BIGINT AS k, round(x, 6) AS enrichment, round(z, 6) AS z, round(kind_share, 6) AS kind_share, x >= 1.5 AND z >= 6 AND kind_share >= 0.5 AS counted FROM e""")
+def benign_enriched_clusters(s, d):
+    """Clusters enriched in vectors of one side of the first axis, at the usual bounds, that mostly hold benign seeds."""
+    found = groups.enriched_kinds(fx.vectors(s, d), "cluster", F.col("vector")[0] > 0, F.col("seed").isin("seed1", "seed2", "seed3", "seed4"))
+    return found.select("cluster", "n", "k", F.round("enrichment", 6).alias("enrichment"), F.round("z", 6).alias("z"), F.round("kind_share", 6).alias("kind_share"), "counted")
+
+
 # joins, counts and small kits
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import folds, ranks, scores, vectors
+from colloquy.operators import folds, groups, ranks, runs, scores, vectors
 from colloquy.sources import runlogs
 
 
@@ -53,6 +53,30 @@ def test_best_threshold_tries_every_cut(spark):
     assert scores.best_threshold(df.where("false"), [], "v", F.col("p")).count() == 0
 
 
+def test_classes_are_described(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f, float(v), p) for f, n in (("x", 201), ("y", 60)) for v, p in zip(rng.lognormal(size=n), (rng.random(n) < 0.4).tolist())] + [("x", None, True), ("x", 1e9, None), ("one", 3.0, True)]
+    got = {r.feature: r for r in runs.describe_by_class(spark.createDataFrame(rows, "feature string, value double, p boolean"), F.col("p")).collect()}
+    for f in ("x", "y"):
+        pos, neg = (np.array([v for g, v, p in rows if g == f and p is side and v is not None]) for side in (True, False))
+        assert (got[f].median_pos, got[f].median_neg) == pytest.approx((np.median(pos), np.median(neg)))
+        pooled = (((len(pos) - 1) * pos.var(ddof=1) + (len(neg) - 1) * neg.var(ddof=1)) / (len(pos) + len(neg) - 2)) ** 0.5
+        assert got[f].cohens_d == pytest.approx((pos.mean() - neg.mean()) / pooled)
+    assert (got["one"].median_pos, got["one"].median_neg, got["one"].cohens_d) == (3.0, None, None)
+
+
+def test_enriched_kinds_at_their_bounds(spark):
+    plan = {1: (100, 90, 60), 2: (100, 90, 40), 3: (20, 20, 20), 4: (400, 40, 400), None: (60, 58, 60)}  # rows, target, of the kind
+    rows = [(c, i < k, True if i >= n - b else (None if i % 2 else False)) for c, (n, k, b) in plan.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "c int, hit boolean, kind boolean")
+    got = {r.c: r for r in groups.enriched_kinds(df, "c", F.col("hit"), F.col("kind")).collect()}
+    assert {c: r.counted for c, r in got.items()} == {1: True, 2: False, 4: False, None: True}
+    assert {c: round(r.kind_share, 6) for c, r in got.items()} == {1: 0.6, 2: 0.4, 4: 1.0, None: 1.0}
+    every = groups.enriched_kinds(df, "c", F.lit(True), F.col("kind")).collect()  # no spread, so no z
+    assert not any(r.counted for r in every) and all(r.z is None for r in every)
+    assert groups.enriched_kinds(df.where("false"), "c", F.col("hit"), F.col("kind")).count() == 0
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(5)
     rows = [(g, float(v)) for g, n in (("a", 101), ("b", 38), ("c", 1), (None, 12)) for v in np.round(rng.lognormal(size=n) * rng.choice([-1, 1], n), 2)]
