@@ -66,6 +66,7 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints (column ``fp``, no repeats) at two or fewer differing bits.
 
     Of two halves that differ in one bit, one lacks it: only bits that are not set are flipped, which halves the balls.
+    The planner takes a ball for one row and would send all balls to the driver, to be broadcast: both sides are shuffled.
     """
     segments = F.array(*[F.struct(F.lit(i).alias("segment"), _half(F.col("fp"), i).alias("half")) for i in (0, 1)])
     table = fingerprints.select("fp", F.explode(segments).alias("s")).select("fp", "s.segment", "s.half")
@@ -76,7 +77,7 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     )
     near = F.bit_count(F.col("probe").bitwiseXOR(F.col("fp"))) <= 2
     once = ~F.col("same") | (F.col("probe") < F.col("fp"))
-    return probes.join(table, ["segment", "half"]).where(near & once).select(F.least("probe", "fp").alias("a"), F.greatest("probe", "fp").alias("b"))
+    return probes.join(table.hint("merge"), ["segment", "half"]).where(near & once).select(F.least("probe", "fp").alias("a"), F.greatest("probe", "fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -88,10 +89,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     marked = write_table(docs.select(key, fingerprints_udf(F.col(text)).alias("fp")), "simhash")
     groups = write_table(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-groups")
     joined = components(fingerprint_links(groups.select("fp")), "simhash-links")
-    member = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    member = groups.join(joined.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = write_table(member.select("fp", "component").join(named, "component").select("fp", "component_id"), "simhash-names")
-    return marked.join(names, "fp").select(key, "fp", "component_id")
+    names = write_table(member.select("fp", "component").join(named.hint("merge"), "component").select("fp", "component_id"), "simhash-names")
+    return marked.join(names.hint("merge"), "fp").select(key, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -120,6 +120,17 @@ def test_simhash_is_brute_force(spark):
     assert Counter(map(tuple, kept.collect())) == Counter(tuple(r) for r in docs.collect() if r.doc_id in one.values())
 
 
+def test_fingerprints_are_never_sent_to_the_driver(spark):
+    """The planner takes a Hamming ball for one row, so all balls of a small table would be broadcast."""
+    fingerprints = common.write_table(spark.range(2_000).select(F.xxhash64("id").alias("fp")), "fps")
+    links = simhash.fingerprint_links(fingerprints)
+    links.count()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    joined = simhash.near_duplicates(spark.createDataFrame([(i, f"w{i} x y z") for i in range(50)], "doc_id long, text string"))
+    joined.count()
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_copies_of_the_pipeline_are_brute_force(spark):
     import corpus_pipeline
 
