@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,9 @@ from colloquy.llm.simhash import shingle_hashes
 
 #: Texts about that many are looked through for common shingles, and how often one is seen to be common.
 LOOKED_AT, COMMON = 20_000, 4
+#: Shingles are worked on in slices by their hash, pairs in parts by their first text, so that the files of an exchange take a
+#: share of the disk only: posts and pairs that make a slice, and how many there are at most, for each reads all texts' marks.
+SLICE_POSTS, SLICE_PAIRS, SLICES = 4_000_000, 50_000, 8
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -75,20 +79,14 @@ def similar_rows(rows: DataFrame, text: str, shingle: int = 5, similarity: float
             yield pd.DataFrame(out, columns=["digest", "n", "rare", "prefix", "parity"])
 
     spark = rows.sparkSession
+    free_shuffles(spark)
     marked = write_table(rows.select("_row", marks.asNondeterministic()(F.col(text)).alias("m")).select("_row", "m.*"), "similar")
     sets = write_table(marked.groupBy("digest").agg(F.min("_row").alias("id")), "similar-sets")
-    posts = marked.join(sets.select(F.col("id").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("id"), "n", "rare", F.posexplode("prefix").alias("at", "s"))
-    # most shingles are in one text only: counting them first costs a narrow exchange, and only posts of the others are kept
-    often = write_table(posts.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1").select("s"), "similar-often")
-    free_shuffles(spark)
-    posts = write_table(posts.join(often, "s", "left_semi"), "similar-posts")
-    drop_table(often)
-    free_shuffles(spark)
-    first = posts.groupBy("s").agg(F.min(F.struct("rare", "id", "n", "at")).alias("f"))
-    leaders = first.select("s", F.col("f.id").alias("leader"), F.col("f.n").alias("leader_n"), F.col("f.at").alias("leader_at"))
-    held = write_table(posts.drop("rare").join(leaders, "s"), "similar-buckets")
-    drop_table(posts)
+    heads = write_table(marked.join(sets.select(F.col("id").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "id").drop("digest"), "similar-heads")
+    members = write_table(marked.select("_row", "digest"), "similar-members")
+    drop_table(marked)
     free_shuffles(spark)
+    slices = max(1, min(SLICES, -(-(heads.agg(F.sum(F.size("prefix"))).first()[0] or 0) // SLICE_POSTS)))
 
     def may_be(n: str, at: str, other_n: str, other_at: str) -> Column:
         """Whether sizes allow the similarity, and the members from a shared one on, were it the first, are enough."""
@@ -104,45 +102,87 @@ def similar_rows(rows: DataFrame, text: str, shingle: int = 5, similarity: float
     def in_order(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def verified(likely: DataFrame) -> DataFrame:
-        wanted = write_table(likely.select(F.col("a").alias("_row")).union(likely.select("b")).distinct().sort("_row"), "similar-wanted")
-        whole = write_table(rows.join(wanted, "_row", "left_semi").select("_row", _sets(text, shingle).alias("set")), "similar-shingles")
-        both = likely.join(whole.select(F.col("_row").alias("a"), F.col("set").alias("p")), "a").join(whole.select(F.col("_row").alias("b"), F.col("set").alias("q")), "b")
-        alike = F.size(F.array_intersect("p", "q")) * (1 + similarity) >= similarity * (F.size("p") + F.size("q")) - 1e-9
-        links = write_table(both.where(alike).select("a", "b"), "similar-links")
-        for done in (likely, wanted, whole):
-            drop_table(done)
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, tables)
+
+    def buckets(part: int) -> DataFrame:
+        """The posts of shingles of a slice that several texts have, with the leader of each."""
+        posts = heads.select("id", "n", "rare", F.posexplode("prefix").alias("at", "s")).where(F.pmod("s", F.lit(slices)) == part)
+        # most shingles are in one text only: counting them first costs a narrow exchange, and only posts of the others are kept
+        often = write_table(posts.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1").select("s"), "similar-often")
         free_shuffles(spark)
-        return links
+        posts = write_table(posts.join(often, "s", "left_semi"), "similar-posts")
+        drop_table(often)
+        free_shuffles(spark)
+        first = posts.groupBy("s").agg(F.min(F.struct("rare", "id", "n", "at")).alias("f"))
+        leaders = first.select("s", F.col("f.id").alias("leader"), F.col("f.n").alias("leader_n"), F.col("f.at").alias("leader_at"))
+        held = write_table(posts.drop("rare").join(leaders, "s"), "similar-buckets")
+        drop_table(posts)
+        free_shuffles(spark)
+        return held
 
-    side = lambda row, n, bits: marked.select(F.col("_row").alias(row), F.col("n").alias(n), F.col("parity").alias(bits))
-    with_leader = held.where("id <> leader").where(may_be("n", "at", "leader_n", "leader_at")).select(F.col("id").alias("x"), F.col("leader").alias("y"))
-    pairs = write_table(in_order(with_leader), "similar-pairs")
-    free_shuffles(spark)
+    def with_leaders(held: DataFrame) -> DataFrame:
+        met = held.where("id <> leader").where(may_be("n", "at", "leader_n", "leader_at")).select(F.col("id").alias("x"), F.col("leader").alias("y"))
+        pairs = write_table(in_order(met), "similar-pairs")
+        free_shuffles(spark)
+        return pairs
+
+    def verified(likely: DataFrame) -> DataFrame:
+        """The pairs that are as similar as that, a part of them after the other."""
+        parts = max(1, min(SLICES, -(-likely.count() // SLICE_PAIRS)))
+        links = []
+        for part in range(parts):
+            these = likely.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
+            wanted = write_table(these.select(F.col("a").alias("_row")).union(these.select("b")).distinct().sort("_row"), "similar-wanted")
+            whole = write_table(rows.join(wanted, "_row", "left_semi").select("_row", _sets(text, shingle).alias("set")), "similar-shingles")
+            both = these.join(whole.select(F.col("_row").alias("a"), F.col("set").alias("p")), "a").join(whole.select(F.col("_row").alias("b"), F.col("set").alias("q")), "b")
+            alike = F.size(F.array_intersect("p", "q")) * (1 + similarity) >= similarity * (F.size("p") + F.size("q")) - 1e-9
+            links.append(write_table(both.where(alike).select("a", "b"), "similar-links"))
+            drop_table(wanted)
+            drop_table(whole)
+            free_shuffles(spark)
+        drop_table(likely)
+        return all_of(links)
+
+    held = [buckets(part) for part in range(slices)]
+    bits = write_table(heads.select("id", "n", "parity"), "similar-bits")
+    drop_table(heads)
+    side = lambda row, n, parity: bits.select(F.col("id").alias(row), F.col("n").alias(n), F.col("parity").alias(parity))
+    led = [with_leaders(one) for one in held]
+    pairs = all_of(led).distinct()
     likely = write_table(pairs.join(side("a", "p_n", "p"), "a").join(side("b", "q_n", "q"), "b").where(close("p", "p_n", "q", "q_n")).select("a", "b"), "similar-likely")
-    drop_table(pairs)
+    for one in led:
+        drop_table(one)
     free_shuffles(spark)
     near = verified(likely)
     group = components(near, "similar-groups")
     of = lambda column, name: group.select(F.col("node").alias(column), F.col("component").alias(name))
-    placed = held.join(of("id", "g"), "id", "left").join(of("leader", "leader_g"), "leader", "left").select("s", "leader", "id", "n", "at", F.coalesce("g", "id").alias("g"), F.coalesce("leader_g", "leader").alias("leader_g"))
-    placed = write_table(placed, "similar-placed")
-    drop_table(held)
-    free_shuffles(spark)
-    # only buckets with a text apart from their leader go on
-    met = placed.join(placed.where("g <> leader_g").select("s").distinct(), "s", "left_semi").join(marked.select(F.col("_row").alias("id"), "parity"), "id")
-    met = write_table(met, "similar-met")
-    drop_table(placed)
-    free_shuffles(spark)
-    apart = met.where("g <> leader_g").select("s", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("g").alias("x_g"), F.col("parity").alias("x_parity"))
-    fits = (F.col("x_g") != F.col("g")) & may_be("n", "at", "x_n", "x_at") & close("x_parity", "x_n", "parity", "n")
-    likely = write_table(in_order(apart.join(met.where("id <> leader"), "s").where(fits).select("x", F.col("id").alias("y"))), "similar-likely")
-    drop_table(met)
-    free_shuffles(spark)
-    rest = verified(likely)
+
+    def apart_in(held: DataFrame) -> DataFrame:
+        """Likely pairs of a text apart from its bucket's leader and any other of the bucket."""
+        placed = held.join(of("id", "g"), "id", "left").join(of("leader", "leader_g"), "leader", "left").select("s", "leader", "id", "n", "at", F.coalesce("g", "id").alias("g"), F.coalesce("leader_g", "leader").alias("leader_g"))
+        placed = write_table(placed, "similar-placed")
+        drop_table(held)
+        free_shuffles(spark)
+        # only buckets with a text apart from their leader go on
+        met = placed.join(placed.where("g <> leader_g").select("s").distinct(), "s", "left_semi").join(bits.select("id", "parity"), "id")
+        met = write_table(met, "similar-met")
+        drop_table(placed)
+        free_shuffles(spark)
+        apart = met.where("g <> leader_g").select("s", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("at").alias("x_at"), F.col("g").alias("x_g"), F.col("parity").alias("x_parity"))
+        fits = (F.col("x_g") != F.col("g")) & may_be("n", "at", "x_n", "x_at") & close("x_parity", "x_n", "parity", "n")
+        likely = write_table(in_order(apart.join(met.where("id <> leader"), "s").where(fits).select("x", F.col("id").alias("y"))), "similar-likely")
+        drop_table(met)
+        free_shuffles(spark)
+        return likely
+
+    found = [apart_in(one) for one in held]
+    rest = verified(write_table(all_of(found).distinct(), "similar-apart"))
+    for one in found:
+        drop_table(one)
     joined = components(near.union(rest), "similar-groups")
     named = sets.join(joined.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    return marked.select("_row", "digest").join(named, "digest").select("_row", "component")
+    return members.join(named, "digest").select("_row", "component")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

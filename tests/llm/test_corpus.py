@@ -163,6 +163,21 @@ def test_near_copies_of_the_pipeline_are_brute_force(spark):
     assert similar.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_slices_of_shingles_and_pairs_give_the_same_groups(spark, monkeypatch):
+    rng = random.Random(7)
+    bodies = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.01 else f"x{rng.randrange(9)}" for w in rng.choice(bodies)) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    whole = {r._row: r.component for r in similar.similar_rows(rows, "text").collect()}
+    monkeypatch.setattr(similar, "SLICE_POSTS", 100)
+    monkeypatch.setattr(similar, "SLICE_PAIRS", 10)
+    monkeypatch.setattr(similar, "SLICES", 3)
+    read, table = [], similar.write_table
+    monkeypatch.setattr(similar, "write_table", lambda df, name: (read.append(name), table(df, name))[1])
+    assert {r._row: r.component for r in similar.similar_rows(rows, "text").collect()} == whole and len(set(whole.values())) < 150
+    assert read.count("similar-buckets") == similar.SLICES and read.count("similar-links") > 2
+
+
 def test_large_group_of_near_copies_is_linked_by_its_least_edited_text(spark):
     """Copies with few edits are one group, those with many stand alone, and few pairs of either are verified."""
     rng = random.Random(5)
