@@ -39,7 +39,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def text_fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of one whole text as a signed 64-bit number: a bit is set if it is in over half the shingle hashes."""
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes, as a signed 64-bit number; zero if there are none."""
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)

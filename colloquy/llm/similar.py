@@ -1,5 +1,8 @@
 """Near-duplicates by exact Jaccard similarity of sets of word shingles.
 
+Sets are first met by their SimHash fingerprints: each asks for one that differs in two or fewer bits, by multi-index
+hashing of fingerprint halves. Similar texts may differ in more bits, so what fingerprints don't find is searched exactly.
+
 Of two sets in one common order, each without its last ``ceil(t n) - 1`` members, some member is shared if the
 similarity is at least ``t`` (prefix filtering), so no pair is missed. Shingles that a sample of texts shows to be common
 come last: the order decides what the search costs, never what it finds. Pairs that share a prefix member are first made
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import components, drop_table, free_shuffles, write_table
-from colloquy.llm.simhash import shingle_hashes
+from colloquy.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
 #: Texts about that many are looked through for common shingles, and how often one is seen to be common.
 LOOKED_AT, COMMON = 20_000, 4
@@ -60,12 +63,29 @@ def common_shingles(rows: DataFrame, text: str, shingle: int) -> tuple[np.ndarra
     return seen["s"].to_numpy(np.int64), np.log2(seen["n"].to_numpy(float)).astype(np.int8)
 
 
+def fingerprint_pairs(heads: DataFrame) -> DataFrame:
+    """Pairs (a, b: ids, a < b) of sets (id, fp), in a table: each with the first set of its fingerprint, and each of those
+    with the first set of one fingerprint that differs in two or fewer bits. A set has one partner each, so that a large
+    group of near copies makes few pairs."""
+    spark = heads.sparkSession
+    prints = write_table(heads.groupBy("fp").agg(F.min("id").alias("head")), "similar-prints")
+    same = heads.join(prints.hint("merge"), "fp").where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y"))
+    ways = F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q")))
+    one = fingerprint_links(prints.select("fp")).select(F.explode(ways).alias("w")).groupBy(F.col("w.p").alias("a")).agg(F.min("w.q").alias("b"))
+    of = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("head").alias(name)).hint("merge")
+    near = one.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    pairs = write_table(same.union(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "similar-pairs")
+    drop_table(prints)
+    free_shuffles(spark)
+    return pairs
+
+
 def similar_rows(rows: DataFrame, text: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (_row, component) for every row of a table with a long ``_row``: component is the smallest row reachable over
     pairs of a similarity of at least ``similarity``. Wordless and null texts are one group."""
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, text, shingle))
 
-    @F.pandas_udf("digest binary, n int, rare int, prefix array<long>, parity array<long>")
+    @F.pandas_udf("digest binary, fp long, n int, rare int, prefix array<long>, parity array<long>")
     def marks(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common, level = shared.value
         for batch in texts:
@@ -75,8 +95,8 @@ def similar_rows(rows: DataFrame, text: str, shingle: int = 5, similarity: float
                 at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
                 of = np.where(common[at] == s, level[at], 0) if len(common) else np.zeros(len(s))
                 most = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
-                out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), int((of == 0).sum()), s[np.lexsort((s, of))][:most], parities(s)))
-            yield pd.DataFrame(out, columns=["digest", "n", "rare", "prefix", "parity"])
+                out.append((xxhash.xxh3_128_digest(s.tobytes()), fingerprint_of(s.view(np.uint64)), len(s), int((of == 0).sum()), s[np.lexsort((s, of))][:most], parities(s)))
+            yield pd.DataFrame(out, columns=["digest", "fp", "n", "rare", "prefix", "parity"])
 
     spark = rows.sparkSession
     free_shuffles(spark)
@@ -144,11 +164,12 @@ def similar_rows(rows: DataFrame, text: str, shingle: int = 5, similarity: float
         drop_table(likely)
         return all_of(links)
 
+    led = [fingerprint_pairs(heads.select("id", "fp"))]
     held = [buckets(part) for part in range(slices)]
     bits = write_table(heads.select("id", "n", "parity"), "similar-bits")
     drop_table(heads)
     side = lambda row, n, parity: bits.select(F.col("id").alias(row), F.col("n").alias(n), F.col("parity").alias(parity))
-    led = [with_leaders(one) for one in held]
+    led += [with_leaders(one) for one in held]
     pairs = all_of(led).distinct()
     likely = write_table(pairs.join(side("a", "p_n", "p"), "a").join(side("b", "q_n", "q"), "b").where(close("p", "p_n", "q", "q_n")).select("a", "b"), "similar-likely")
     for one in led:

@@ -163,6 +163,20 @@ def test_near_copies_of_the_pipeline_are_brute_force(spark):
     assert similar.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_sets_meet_by_their_fingerprints(spark, monkeypatch):
+    rng = random.Random(5)
+    body = [f"w{rng.randrange(900)}" for _ in range(300)]
+    texts = [" ".join(body[:i] + [f"x{i}"] + body[i + 1 :]) for i in range(0, 300, 10)] + [" ".join(f"y{rng.randrange(900)}" for _ in range(40)) for _ in range(20)]
+    prints = [simhash.fingerprint_of(similar.shingle_set(t, 5).view(np.uint64)) for t in texts]
+    bits = lambda i, j: ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count()
+    got, find = [], similar.fingerprint_pairs
+    monkeypatch.setattr(similar, "fingerprint_pairs", lambda heads: (pairs := find(heads), got.extend((r.a, r.b) for r in pairs.collect()))[0])
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    assert len({r.component for r in similar.similar_rows(rows, "text").collect()}) == 21
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if bits(i, j) <= 2}
+    assert near and set(got) <= near and {i for p in got for i in p} == {i for p in near for i in p} and len(got) < len(texts)
+
+
 def test_slices_of_shingles_and_pairs_give_the_same_groups(spark, monkeypatch):
     rng = random.Random(7)
     bodies = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(12)]
