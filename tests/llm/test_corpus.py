@@ -632,6 +632,36 @@ def test_next_words_have_at_most_one_in_all():
         assert 0.3 < total <= 1 + 1e-9
 
 
+def test_letters_are_learnt_from_every_training_text(spark):
+    """An unseen word costs less if words of its stem are anywhere in training, whichever text has them."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    held = next(i for i in range(1_000, 2_000) if fold(i) == 2)
+    said = " ".join(f"qzxv{i}jkw" for i in range(300))
+    other = " ".join(f"{i}" for i in range(300))
+    cost = {}
+    for f in (0, 1, 3, 4, 5, 6):
+        at = next(i for i in range(1_000) if fold(i) == f)
+        for text in (said, other):
+            docs = spark.createDataFrame([(at, text), (held, "qzxv900jkw qzxv901jkw")], "doc_id long, text string").coalesce(1)
+            cost[f, text] = {r.doc_id: -r.score for r in contextmix.score_documents(docs).collect()}[held]
+        assert cost[f, said] < 0.7 * cost[f, other]
+
+
+def test_own_letters_are_what_a_text_adds_to_the_tables():
+    letters = contextmix.Letters.build([1.0 + (32 <= b < 127) for b in range(256)])
+    parts, text, common = [b"abc ", b"abd ", b"abc ", b"zz "] * 900, np.repeat([0, 1, 2], 1_200), np.zeros(3_600, np.int64)
+    keys, counts = contextmix.own_letters(parts, text, common, letters)
+    slow = {}
+    for i, p in enumerate(parts[:4] * 1):
+        _, bit, slots = letters.events([p], common[:1])
+        for b, row in zip(bit.tolist(), slots.tolist()):
+            for x in row:
+                slow.setdefault(x, [0, 0])[b] += 300
+    for which in range(3):
+        mine = keys >> 21 == which
+        assert dict(zip((keys[mine] & (1 << 21) - 1).tolist(), counts[mine].tolist())) == slow
+
+
 def test_letters_codes_are_complete():
     tree = contextmix.Letters.build([5, 1, 1, 3, 9])
     assert sum(2.0**-n for n in np.diff(tree.offset).tolist()) == 1
