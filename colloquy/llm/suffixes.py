@@ -5,7 +5,8 @@ A text is a row of units: bytes, or words. Of each run of ``gram`` neighbouring
 suffixes. The strings at the anchors are the initial buckets, and each anchor has a pointer: its bucket's identifier.
 A bucket is refined by the pointer at a later offset, that of the next anchor, fetched by a join on its position; the
 new identifiers are written back and the next round reads them, so that after r rounds a pointer stands for r + 1
-anchors and all units between them. Buckets of one member hold no repeat and are left after every round.
+anchors and all units between them. Buckets of one member hold no repeat: those after an anchor that is alone go with
+the join, the others when classes are made.
 
 What is left is settled exactly. The windows of one anchor form a piece; pieces of a bucket with equal units (128-bit
 digests) form a class, classes of two or more are repeated as a whole, and what is left of a bucket is cut into blocks of
@@ -270,11 +271,20 @@ def _with_others(members: DataFrame) -> DataFrame:
 
 
 def refine_pointers(held: DataFrame, rounds: int) -> DataFrame:
-    """Refines buckets by the pointers of the next anchors; each round reads what the round before it wrote."""
+    """Refines buckets by the pointers of the next anchors; each round reads what the round before it wrote.
+
+    An anchor whose next one is alone has left with it. The few that are alone themselves stay until classes are made of
+    their buckets, which leaves them out: to look for them after every round would deal all anchors two times more.
+    """
+    first = held
     for _ in range(rounds):
         later = held.select("row", F.col("pos").alias("next"), F.col("bucket").alias("later"))
         joined = held.join(later.hint("shuffle_hash"), ["row", "next"]).withColumn("bucket", F.xxhash64("bucket", F.col("next") - F.col("pos"), "later")).select(*held.columns)
-        held = _with_others(write_table(joined, "suffix-finer"))
+        before, held = held, write_table(joined, "suffix-finer")
+        if before is not first:
+            drop_table(before)
+        del joined, later
+        free_shuffles(held.sparkSession)
     return held
 
 
@@ -346,9 +356,11 @@ def repeated_spans(anchored: DataFrame, texts: DataFrame, kind: Kind) -> DataFra
     held = refine_pointers(anchored, rounds_for(length))
     pieces = held.where("windows > 0").select("row", "start", "windows", (F.col("pos") - F.col("start")).cast("int").alias("at"), F.lit(True).alias("needed"), "off", "size", "bucket", "k1", "k2")
     found, members = _classes(pieces, False)
+    if held is not anchored:
+        drop_table(held)
     repeated = [found]
     for size in CUTS:
-        smaller = _with_others(write_table(smaller_pieces(members, texts, unit, size, length), "suffix-smaller"))
+        smaller = _with_others(write_table(smaller_pieces(members, texts, unit, size, length), "suffix-smaller"))  # blocks of few windows: most are alone
         drop_table(members)
         found, members = _classes(smaller, size == CUTS[-1])
         drop_table(smaller)
