@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import numeric
 from colloquy.functions import text as words
-from colloquy.operators import groups, lexical, ordered, probes, profiles, runs, sampling, scores, vectors
+from colloquy.operators import groups, lexical, ordered, probes, profiles, runs, sampling, scores, sweeps, vectors
 from colloquy.plans import fixtures as fx
 from colloquy.plans.catalogue import CENTRES, DIMS, ENRICH, INFORMATION, ORACLE, RUNS, SCORED, STOPS, TERMS, TFIDF, TURNS, VECTORS, query
+from colloquy.sources.scratch import saved
 
 
 def jb():
@@ -39,16 +40,9 @@ def purity_profile(s, d):
 def purity_profile_kmeans(s, d):
     """k-means fitted on equal samples of each seed and variant, then every vector by its nearest centroid."""
     rows = fx.vectors(s, d).drop("cluster")
-    sample = sampling.balanced_sample(rows, ["seed", "variant"], "vec_id")
-    parts = []
-    for k in (4, 7):
-        for start in range(3):
-            fitted, _ = vectors.kmeans_labels(sample, "vector", k, seed=start, starts=1)
-            near = vectors.nearest(rows.select("vec_id", "variant", "seed", "vector"), vectors.centroids(fitted, "cluster", "vector"), "vec_id", "vector")
-            parts.append(near.select(F.lit("vectors").alias("space"), F.lit(k).cast("long").alias("k"), F.lit(start).cast("long").alias("start"), F.col("nearest").alias("cluster"), "variant", "seed"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    sample = sampling.balanced_sample(rows, ["seed", "variant"], "vec_id").select("vec_id", "vector")
+    grid, _ = sweeps.fit_starts(sample, "vector", [4, 7], 3)
+    every = saved(sweeps.assign_grid(rows, grid, "vector", "variant", "seed").withColumn("space", F.lit("vectors")), "assigned")
     return profiles.purity_profile(every, ["variant", "seed"], 10)
 
 
