@@ -188,8 +188,7 @@ def suite_headline(s, d):
 
 def _packed_words(s, d):
     docs = fx.table(s, d, "documents").where("text is not null").select("doc_id", "text")
-    counts = lexical.word_counts(docs, "doc_id", "text")
-    return topics.packed(lexical.tfidf(counts, docs.count(), "doc_id"), "doc_id")
+    return topics.packed_tfidf(lexical.word_counts(docs, "doc_id", "text"), docs.count(), "doc_id")
 
 
 @query()

@@ -32,6 +32,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of ``saved`` that nothing reads any more."""
+    spark = df.sparkSession
+    files, own = df.inputFiles(), folder(spark).split(":", 1)[-1].lstrip("/")
+    if files and own in files[0]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that nothing refers to any more; by itself it waits for the driver's garbage
     collections, which are rare."""
