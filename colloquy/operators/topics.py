@@ -49,6 +49,7 @@ def packed_tfidf(counts: DataFrame, n_documents: int, key: str, least_df: int =
     kind = rows.schema[key].dataType.simpleString()
     out = saved(rows.select(key, F.col("e.code").alias("codes"), F.col("e.value").alias("values")).mapInArrow(unit, f"`{key}` {kind}, codes array<int>, values array<double>"), "packed")
     dropped(coded)
+    del rows, coded
     free_shuffles(out.sparkSession)
     return out, codes
 
@@ -181,7 +182,7 @@ def assign_spherical(rows: DataFrame, model: Spherical, key: str) -> DataFrame:
 LEAST = 1e-12
 
 #: Rounds that rows follow anew in each pass before their topics are written: rows are far larger than the codes' topics.
-FOLLOWED = 4
+FOLLOWED = 8
 
 
 def factorise(rows: DataFrame, key: str, n_codes: int, k: int, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, np.ndarray, list[float]]:
@@ -217,12 +218,13 @@ def factorise(rows: DataFrame, key: str, n_codes: int, k: int, rounds: int = 20,
         followed = list(since)
 
         def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-            entries, of, w = now(batch, followed)
             by = total[: k * n_codes].reshape(k, n_codes)
-            for t in range(k):
-                by[t] += np.bincount(entries.codes, entries.values * w[of, t], minlength=n_codes)
-            total[k * n_codes : -1] += (w.T @ w).ravel()
-            total[-1] += (entries.values * entries.values).sum()
+            for part in (batch.slice(a, 2_000) for a in range(0, batch.num_rows, 2_000)):
+                entries, of, w = now(part, followed)
+                for t in range(k):
+                    by[t] += np.bincount(entries.codes, entries.values * w[of, t], minlength=n_codes)
+                total[k * n_codes : -1] += (w.T @ w).ravel()
+                total[-1] += (entries.values * entries.values).sum()
 
         found = array_sums(held.select("codes", "values", "topics"), k * n_codes + k * k + 1, add)
         return found[: k * n_codes].reshape(k, n_codes), found[k * n_codes : -1].reshape(k, k), float(found[-1])

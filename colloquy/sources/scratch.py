@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,4 +46,5 @@ def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that nothing refers to any more; by itself it waits for the driver's garbage
     collections, which are rare."""
     gc.collect()
+    time.sleep(0.3)  # for listeners that still hold the last plan
     spark.sparkContext._jvm.System.gc()
